@@ -37,7 +37,7 @@ def words_of(text) -> set[str]:
     """Distinct words in lower case without punctuation, in pieces of LONG characters where they are longer."""
     low = text.lower() if isinstance(text, str) else ""
     whole = set(low.split())
-    if sum(len(w) == 1 for w in whole) > 3:
+    if sum(len(w) == 1 for w in whole) >= 3:
         whole.update(re.sub(r"\s", "", m[0]) for m in _APART.finditer(low))
     out = set()
     for w in whole:
