@@ -37,6 +37,10 @@ SKETCH_BITS, CHUNK_BITS = 24, 8
 BUCKET = 400_000
 #: Leaders of each shingle in the first step, and the run length up to which all pairs are taken at once.
 LEADERS, SHORT_RUN = 3, 4
+#: Members of a group that stand for it before it is opened as a whole.
+CENTRES = 8
+#: Members of a group that are opened as one block.
+OPEN = 64
 BROADCAST_ROWS = 100_000
 
 
@@ -240,22 +244,66 @@ class _Join:
         left, right = (self.blobs.select(F.col("sid").alias(k), F.col("blob").alias(v)) for k, v in (("a", "x"), ("b", "y")))
         return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long")
 
-    def opened(self, groups: DataFrame, done: DataFrame) -> DataFrame:
-        """Pairs of sets with members of other groups whose bound qualifies; groups: (sid, gid) of all shared sets."""
+    def qualifying(self, groups: DataFrame) -> DataFrame:
+        """(sid, g): sets and groups other than their own whose bound allows a link; groups: (sid, gid) of all shared sets. Each pair of groups is asked from one side."""
         rows = save(self.shared.join(groups, "sid"))
         split = save(rows.groupBy("token").agg(F.min("gid").alias("lo"), F.max("gid").alias("hi")).where("lo <> hi").select("token"))
-        rows = save(rows.join(broadcast_if(split, BROADCAST_ROWS), "token", "left_semi"))
+        rows = rows.join(broadcast_if(split, BROADCAST_ROWS), "token", "left_semi")
         sizes = self.known.select("sid", "n").join(groups, "sid").groupBy("gid").agg(F.min("n").alias("least"), F.max("n").alias("most"))
         matrix = rows.select("token", F.col("gid").alias("g")).distinct()
         bound = rows.join(matrix, "token").where("g < gid").groupBy("sid", "g").agg(F.count("*").alias("common"))
         bound = bound.join(self.known.select("sid", "n"), "sid").join(sizes.withColumnRenamed("gid", "g"), "g")
         bound = bound.withColumn("least", F.greatest("least", F.ceil(F.col("n") * OVER / UNDER))).withColumn("most", F.least("most", F.floor(F.col("n") * UNDER / OVER)))
         fits = lambda m: F.col("common") + F.greatest(_rest("n"), _rest(m)) >= _need("n", m)
-        qualify = save(bound.where("least <= most").where(fits("least") | fits("most")).select("sid", "g"))
-        members = rows.select("token", F.col("gid").alias("g"), F.col("sid").alias("other"))
-        pairs = rows.select("token", "sid").join(qualify, "sid").join(members, ["token", "g"])
-        pairs = pairs.select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b")).distinct()
-        return save(pairs.join(done, ["a", "b"], "left_anti"))
+        return save(bound.where("least <= most").where(fits("least") | fits("most")).select("sid", "g"))
+
+    def centres(self, groups: DataFrame, asked: DataFrame) -> DataFrame:
+        """(g, other): of each asked group up to CENTRES members whose prefix shingles are the commonest in the group, one of each hash class."""
+        rows = self.shared.join(groups, "sid").join(asked.select(F.col("g").alias("gid")).distinct(), "gid", "left_semi")
+        held = rows.groupBy("gid", "token").agg(F.count("*").alias("by"))
+        scores = rows.join(held, ["gid", "token"]).groupBy("gid", "sid").agg(F.sum("by").alias("score")).join(self.known.select("sid", "n"), "sid")
+        classes = scores.groupBy("gid", F.pmod(F.xxhash64("sid"), F.lit(CENTRES)).alias("class"))
+        return classes.agg(F.max(F.struct((F.col("score") / F.col("n")).alias("share"), "sid")).alias("best")).select(F.col("gid").alias("g"), F.col("best.sid").alias("other"))
+
+
+    def opened(self, qualify: DataFrame, groups: DataFrame) -> DataFrame:
+        """Pairs (a, b) of qualifying (sid, g) with members of the group that could be linked. Large groups are opened in blocks of members, against which each query counts its shared shingles; a block gives only the pairs that may be similar."""
+        sizes = save(groups.groupBy(F.col("gid").alias("g")).agg(F.ceil(F.count("*") / OPEN).cast("int").alias("blocks")).join(qualify.select("g").distinct(), "g", "left_semi"))
+        members = groups.select(F.col("gid").alias("g"), F.col("sid").alias("other")).join(sizes, "g")
+        small = _pairs(qualify.join(sizes.where("blocks = 1"), "g", "left_semi"), members.where("blocks = 1").select("g", "other"))
+        facts = self.known.select(F.col("sid").alias("other"), "n", "tokens")
+        held = save(members.where("blocks > 1").withColumn("block", F.pmod(F.xxhash64("other"), F.col("blocks")).cast("int")).join(facts, "other").select("g", "block", "other", "n", "tokens"))
+        asked = qualify.join(sizes.where("blocks > 1"), "g").join(facts.withColumnRenamed("other", "sid"), "sid")
+        asked = save(asked.select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "sid", "n", "tokens"))
+        large = asked.groupBy("g", "block").cogroup(held.groupBy("g", "block")).applyInArrow(_open, "a long, b long")
+        return small.union(large)
+
+
+def _open(queries, members):
+    """Pairs of the queries and members of a block whose sizes and shared prefix shingles allow them to be similar."""
+    import pyarrow as pa
+
+    out = ([], [])
+    if len(queries) and len(members):
+        owners: dict[int, list[int]] = {}
+        for i, tokens in enumerate(members.column("tokens").to_pylist()):
+            for t in tokens:
+                owners.setdefault(t, []).append(i)
+        names, m = members.column("other").to_numpy(), members.column("n").to_numpy()
+        for sid, n, tokens in zip(queries.column("sid").to_pylist(), queries.column("n").to_pylist(), queries.column("tokens").to_pylist()):
+            hits = [i for t in tokens for i in owners.get(t, ())]
+            common = np.bincount(np.array(hits, np.int64), minlength=len(m))
+            rest = np.maximum(-(-OVER * n // UNDER), -(-OVER * m // UNDER)) - 1
+            ok = (common > 0) & (common + rest >= -(-OVER * (n + m) // (OVER + UNDER))) & (OVER * n <= UNDER * m) & (OVER * m <= UNDER * n)
+            for other in names[ok].tolist():
+                out[0].append(min(sid, other))
+                out[1].append(max(sid, other))
+    return pa.table([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
+
+
+def _pairs(qualify: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of qualifying (sid, g) with members (g, other)."""
+    return qualify.join(members, "g").select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -273,11 +321,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = save(found.where("token is null").select("a", "b").distinct())
     join = _Join(base, sets, shared)
     links = save(join.links(pairs))
-    grouped = components(links)
-    everyone = join.known.select("sid").join(grouped.withColumnRenamed("node", "sid"), "sid", "left").select("sid", F.coalesce("root", "sid").alias("gid"))
-    groups = save(everyone)
-    more = join.links(join.opened(groups, pairs))
-    roots = save(components(links.union(more)))
+    for last in (False, True):
+        roots = components(links)
+        groups = save(join.known.select("sid").join(roots.withColumnRenamed("node", "sid"), "sid", "left").select("sid", F.coalesce("root", "sid").alias("gid")))
+        qualify = join.qualifying(groups)
+        more = join.opened(qualify, groups) if last else _pairs(qualify, join.centres(groups, qualify))
+        more = save(more.join(pairs, ["a", "b"], "left_anti"))
+        pairs = pairs.union(more)
+        links = save(links.union(join.links(more)))
+    roots = save(components(links))
     classes = sets.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").select("doc_id", "_d", "n", F.when(F.col("n") > 0, F.coalesce("root", "sid")).alias("c"))
     classes = save(classes)
     lows = classes.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("low"), F.count("*").alias("rows")).where("rows > 1").select("c", "low")
