@@ -64,8 +64,8 @@ def _encode(path: str, end: int, size: int):
             for start in range(0, len(batch), 500):
                 part = batch.slice(start, 500)
                 lengths, sums, salts = [], [], []
-                for ids in bpe.packed([t or "" for t in part.column(1).to_pylist()]):
-                    ids += tail
+                for text in part.column(1).to_pylist():
+                    ids = bpe.packed(text or "") + tail
                     lengths.append(len(ids) // 4)
                     sums.append([zlib.crc32(ids[4 * a : 4 * (a + m)]) for a, m in cut(len(ids) // 4, size)])
                     salts.append(zlib.crc32(ids))

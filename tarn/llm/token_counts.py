@@ -46,9 +46,7 @@ def _count_pieces(path: str):
 
         bpe = load(path)
         for batch in batches:
-            pieces, out = batch.column(0).to_pylist(), []
-            for a in range(0, len(pieces), 20_000):
-                out += bpe.counts(pieces[a : a + 20_000])
+            out = bpe.counts(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.int64())], names=["piece", "n", "tokens"])
 
     return run

@@ -200,6 +200,8 @@ def test_classes_with_tiny_limits(spark, monkeypatch):
     monkeypatch.setattr(near_duplicates, "BROADCAST_ROWS", 0)
     monkeypatch.setattr(near_duplicates, "LEADERS", 1)
     monkeypatch.setattr(near_duplicates, "SHORT_RUN", 2)
+    monkeypatch.setattr(near_duplicates, "CENTRES", 1)
+    monkeypatch.setattr(near_duplicates, "OPEN", 2)
     docs = noisy(160, seed=9)
     got = rows_of(near_duplicates.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)))
     assert sorted(got, key=str) == plain_classes(docs)
@@ -424,7 +426,7 @@ def test_nearest_of_odd_rows(spark):
 def test_split_by_pretokens_is_the_library_s(documents):
     own = bpe.load(queries.bpe_path())
     texts = [t or "" for (t,) in rows_of(documents.select("text").limit(50))] + SPECIAL
-    assert [np.frombuffer(b, "<u4").tolist() for b in own.packed(texts)] == ids_of(texts)
+    assert [np.frombuffer(b, "<u4").tolist() for b in map(own.packed, texts)] == ids_of(texts)
 
 
 # the pipeline
