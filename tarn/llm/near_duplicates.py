@@ -254,8 +254,9 @@ class _Join:
         bound = rows.join(matrix, "token").where("g < gid").groupBy("sid", "g").agg(F.count("*").alias("common"))
         bound = bound.join(self.known.select("sid", "n"), "sid").join(sizes.withColumnRenamed("gid", "g"), "g")
         bound = bound.withColumn("least", F.greatest("least", F.ceil(F.col("n") * OVER / UNDER))).withColumn("most", F.least("most", F.floor(F.col("n") * UNDER / OVER)))
-        fits = lambda m: F.col("common") + F.greatest(_rest("n"), _rest(m)) >= _need("n", m)
-        return save(bound.where("least <= most").where(fits("least") | fits("most")).select("sid", "g"))
+        # Larger members than the set fit the more easily the larger they are, smaller ones the smaller they are. Both sides are rounded up, so just below the largest size one more shingle can do.
+        fits = lambda m, spare: F.col("common") + F.greatest(_rest("n"), _rest(m)) + spare >= _need("n", m)
+        return save(bound.where("least <= most").where(fits("least", 0) | fits("most", 1)).select("sid", "g"))
 
     def centres(self, groups: DataFrame, asked: DataFrame) -> DataFrame:
         """(g, other): of each asked group up to CENTRES members whose prefix shingles are the commonest in the group, one of each hash class."""
