@@ -100,7 +100,7 @@ def _add_up(table):
 def _levels(spark: SparkSession, sketch: DataFrame):
     """Broadcasts a byte for each counter: 0 for shingles that are about as rare as most, else more for more common ones. Its size is fixed."""
     counts = np.zeros((1 << CHUNK_BITS, 1 << (SKETCH_BITS - CHUNK_BITS)), np.uint16)
-    for row in sketch.groupBy("piece").applyInArrow(_add_up, "piece int, blob binary").toLocalIterator():
+    for row in sketch.groupBy("piece").applyInArrow(_add_up, "piece int, blob binary").collect():  # 32 MB at most
         counts[row["piece"]] = np.frombuffer(zlib.decompress(row["blob"]), np.uint16)
     mean = float(counts.mean())
     usual = mean + 8 * mean**0.5 + 8
