@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .common import save
 
 
+#: Edges that a task contracts at once, roughly; tasks grow in number with the edges, not in size.
+EDGES_A_TASK = 200_000
+
+
 def _contract(batches):
     """Within a task, replaces its edges by a star of each connected part: fewer rows, same components."""
     import pyarrow as pa
@@ -41,12 +45,13 @@ def _stars(edges: DataFrame) -> bool:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, root) for all nodes of edges (a, b: long, no nulls); root is the smallest node of the component.
+    """(node, root) for all nodes of edges (a, b: long, no nulls), a saved table; root is the smallest node of the component.
 
-    Large-star and small-star steps in turn, on a written table each, until every component is a star. Every edge
+    The files of the table are read in as few tasks as its rows need, each of which contracts what it reads. Large-star and small-star steps in turn, on a written table each, until every component is a star. Every edge
     points from the larger to the smaller node, and no step gathers the neighbours of a node: it joins their minimum.
     """
-    now = save(edges.select("a", "b").where("a <> b").mapInArrow(_contract, "a long, b long").distinct())
+    tasks = 1 + edges.count() // EDGES_A_TASK
+    now = save(edges.select("a", "b").where("a <> b").coalesce(tasks).mapInArrow(_contract, "a long, b long").distinct())
     while not _stars(now):
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))

@@ -214,7 +214,9 @@ def test_classes_of_odd_rows(spark, odd, documents):
     assert sorted(kept, key=str) == sorted([(d,) for d in (1, 2, 3, 4, 5, 6, 7, None)], key=str)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("edges_a_task", [components.EDGES_A_TASK, 50])
+def test_components(spark, monkeypatch, edges_a_task):
+    monkeypatch.setattr(components, "EDGES_A_TASK", edges_a_task)
     rng = np.random.default_rng(1)
     pairs = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(k, k + 1) for k in range(500, 560)]
     top = {x: x for p in pairs for x in p}
