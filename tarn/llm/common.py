@@ -40,6 +40,28 @@ def broadcast_if(df: DataFrame, most_rows: int) -> DataFrame:
     return F.broadcast(df) if df.count() <= most_rows else df
 
 
+def release() -> None:
+    """Gives back to the system what this Python worker has freed. Workers live on between stages, and what they hold counts against their executor."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
+def releasing(run):
+    """run, a function over Arrow batches, with release() once its task is through."""
+
+    def then_release(batches):
+        yield from run(batches)
+        release()
+
+    return then_release
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(c, ASCII_UPPER, ASCII_LOWER)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import releasing, save
 
 
 #: Edges that a task contracts at once, roughly; tasks grow in number with the edges, not in size.
@@ -51,7 +51,7 @@ def components(edges: DataFrame) -> DataFrame:
     points from the larger to the smaller node, and no step gathers the neighbours of a node: it joins their minimum.
     """
     tasks = 1 + edges.count() // EDGES_A_TASK
-    now = save(edges.select("a", "b").where("a <> b").coalesce(tasks).mapInArrow(_contract, "a long, b long").distinct())
+    now = save(edges.select("a", "b").where("a <> b").coalesce(tasks).mapInArrow(releasing(_contract), "a long, b long").distinct())
     while not _stars(now):
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))

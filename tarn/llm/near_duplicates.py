@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, keyed, save
+from .common import broadcast_if, keyed, releasing, save
 from .components import components
 from .shingles import mix, set_id, shingle_sets
 
@@ -239,10 +239,10 @@ class _Join:
             needed = needed.join(self.blobs.select("sid"), "sid", "left_anti")
         rows = save(needed.join(self.known, "sid").select("sid", "_d", "_r"))
         texts = self.base.join(broadcast_if(rows, BROADCAST_ROWS), ["_d", "_r"])
-        more = save(texts.select("sid", "text").mapInArrow(_pack, "sid long, blob binary").groupBy("sid").agg(F.first("blob").alias("blob")))
+        more = save(texts.select("sid", "text").mapInArrow(releasing(_pack), "sid long, blob binary").groupBy("sid").agg(F.first("blob").alias("blob")))
         self.blobs = more if self.blobs is None else self.blobs.union(more)
         left, right = (self.blobs.select(F.col("sid").alias(k), F.col("blob").alias(v)) for k, v in (("a", "x"), ("b", "y")))
-        return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long")
+        return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(releasing(_similar), "a long, b long")
 
     def qualifying(self, groups: DataFrame) -> DataFrame:
         """(sid, g): sets and groups other than their own whose bound allows a link; groups: (sid, gid) of all shared sets. Each pair of groups is asked from one side."""
@@ -311,12 +311,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id reachable by links, its own included)."""
     spark = docs.sparkSession
     base = keyed(docs)
-    measured = save(base.select("doc_id", "text", "_d", "_r").mapInArrow(_measure, "doc_id long, _d long, _r long, n long, sid long, piece int, blob binary"))
+    measured = save(base.select("doc_id", "text", "_d", "_r").mapInArrow(releasing(_measure), "doc_id long, _d long, _r long, n long, sid long, piece int, blob binary"))
     sets = measured.where("piece is null").select("doc_id", "_d", "_r", "n", "sid")
     levels = _levels(spark, measured.where("piece is not null").select("piece", "blob"))
     total = sets.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, int(total // UNDER // BUCKET), int(spark.conf.get("spark.sql.shuffle.partitions")) if total > 10 * BUCKET else 1)
-    dealt = base.select("text").mapInArrow(_prefixes(levels, buckets), "bucket int, tokens binary, sids binary")
+    dealt = base.select("text").mapInArrow(releasing(_prefixes(levels, buckets)), "bucket int, tokens binary, sids binary")
     found = save(dealt.groupBy("bucket").applyInArrow(_shared, "token long, a long, b long"))
     shared = found.where("token is not null").select("token", F.col("a").alias("sid"))
     pairs = save(found.where("token is null").select("a", "b").distinct())
