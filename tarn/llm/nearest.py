@@ -26,10 +26,14 @@ SAMPLE = 20_000
 LIST, MOST_LISTS = 400, 4096
 #: A vector is in up to COPIES lists whose distance is within (1 + SLACK) of the nearest.
 COPIES, SLACK = 4, 0.10
-#: A search opens lists within RATIO of the nearest distance, LEAST of them at least and MOST at most.
+#: The first search opens lists within RATIO of the nearest distance, LEAST of them at least and MOST at most.
 RATIO, LEAST, MOST = 1.35, 12, 48
 BLOCK = 4_000
 BEAM = 96
+#: The second search deals blocks of lists to shards of about SHARD points, FEWEST shards at least, and queries to parts of about PART.
+SHARD, FEWEST, PART = 20_000, 12, 20_000
+#: Angles and scores are compared with so much room for rounding.
+ROOM, NEAR = 1e-6, 1e-9
 
 
 def fit(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -100,13 +104,17 @@ def _matrix(column) -> np.ndarray:
     return np.array(column.to_pylist(), np.float64)
 
 
+def _angles(cosine):
+    return np.arccos(np.clip(cosine, -1.0, 1.0))
+
+
 def cosines(q: np.ndarray, v: np.ndarray) -> np.ndarray:
     """Exact measure of q with each row of v; row by row, so that it doesn't depend on what else is in v."""
     return (v * q).sum(1) / (np.sqrt((q * q).sum()) * np.sqrt((v * v).sum(1)))
 
 
 def _assign(graph):
-    """(list, point) of each point: its nearest list, and others about as near."""
+    """(list, point) of each point: its nearest list, with the angle to its centroid, and others about as near, with a null."""
 
     def run(batches):
         import pyarrow as pa
@@ -115,16 +123,17 @@ def _assign(graph):
         for batch in batches:
             if not len(batch):
                 continue
-            lists, rows = [], []
+            lists, rows, angles = [], [], []
             u = _unit(_matrix(batch.column(1)))
             for i, q in enumerate(u):
                 near = g.search(q, 8)[:COPIES]
-                for d, j in near:
+                for k, (d, j) in enumerate(near):
                     if d <= (1 + SLACK) * near[0][0] + 1e-9:
                         lists.append(j)
                         rows.append(i)
+                        angles.append(None if k else float(_angles(g.c[j] @ q)))
             take = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), *(c.take(take) for c in batch.columns)], names=["list", "point", "v", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), *(c.take(take) for c in batch.columns), pa.array(angles, pa.float64())], names=["list", "point", "v", "ids", "angle"])
 
     return run
 
@@ -178,8 +187,81 @@ def _search(k: int):
     return run
 
 
+def _reach(graph, radii, units):
+    """(shard, query, q, least) for each shard that holds a list which can have a point of score least or more. units: list and shard of each block."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        c, radius, (lists, shards) = graph.value.c, radii.value, units.value
+        for batch in batches:
+            if not len(batch):
+                continue
+            to, rows = [], []
+            q, least = _unit(_matrix(batch.column(1))), batch.column(2).to_numpy()
+            for start in range(0, len(q), 256):
+                open_ = _angles(q[start : start + 256] @ c.T) - radius <= _angles(least[start : start + 256])[:, None] + ROOM
+                for i, some in enumerate(open_):
+                    found = np.unique(shards[some[lists]])
+                    to.append(found)
+                    rows.append(np.full(len(found), start + i))
+            take = pa.array(np.concatenate(rows), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(to), pa.int32()), *(x.take(take) for x in batch.columns)], names=["shard", "query", "q", "least"])
+
+    return run
+
+
+def _search_shard(k: int, graph, radii):
+    """The k + 1 nearest points of a shard, of those with a score of least or more, for each query that reaches it."""
+
+    def run(key, queries, points):
+        import pyarrow as pa
+
+        schema = pa.schema([("query", pa.int64()), ("point", pa.int64()), ("score", pa.float64()), ("ids", pa.list_(pa.int64()))])
+        if not len(queries) or not len(points):
+            return schema.empty_table()
+        c, radius = graph.value.c, radii.value
+        order = np.argsort(points.column("list").to_numpy(), kind="stable")
+        points = points.take(pa.array(order))
+        v, names, ids, lists = _matrix(points.column("v")), points.column("point").to_numpy(), points.column("ids").to_pylist(), points.column("list").to_numpy()
+        u, lead = _unit(v), np.array([i[0] for i in ids])
+        cuts = [0, *(np.flatnonzero(np.diff(lists)) + 1).tolist(), len(lists)]
+        q, least, who = _matrix(queries.column("q")), queries.column("least").to_numpy(), queries.column("query").to_pylist()
+        out = [[], [], [], []]
+        for start in range(0, len(q), 256):
+            own, floor = q[start : start + 256], least[start : start + 256]
+            unit = _unit(own)
+            reach = _angles(unit @ c[lists[cuts[:-1]]].T) - radius[lists[cuts[:-1]]] <= _angles(floor)[:, None] + ROOM
+            some: list[list[np.ndarray]] = [[] for _ in own]
+            for n, (a, b) in enumerate(zip(cuts, cuts[1:])):
+                asks = np.flatnonzero(reach[:, n])
+                if len(asks):
+                    i, j = np.nonzero(unit[asks] @ u[a:b].T >= floor[asks, None] - NEAR)
+                    for x in np.unique(i).tolist():
+                        some[asks[x]].append(a + j[i == x])
+            for row, found in enumerate(some):
+                if found:
+                    at = np.concatenate(found)
+                    score = cosines(own[row], v[at])
+                    for i in np.lexsort((lead[at], -score))[: k + 1].tolist():
+                        out[0].append(who[start + row])
+                        out[1].append(int(names[at[i]]))
+                        out[2].append(float(score[i]))
+                        out[3].append(ids[at[i]])
+        return pa.table([pa.array(x, t.type) for x, t in zip(out, schema)], schema=schema)
+
+    return run
+
+
+def _best(found: DataFrame, most: int) -> DataFrame:
+    """query, best: the first most (far, vec_id) of the points found. A point found in several lists counts once."""
+    found = found.groupBy("query", "point").agg(F.first("score").alias("score"), F.first("ids").alias("ids"))
+    found = found.select("query", "score", F.explode("ids").alias("vec_id"))
+    return found.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))), 1, most).alias("best"))
+
+
 def nearest(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
-    """query_id, rank, vec_id, score: the k nearest rows found of vectors (vec_id, embedding) for each row whose vec_id is divisible by every."""
+    """query_id, rank, vec_id, score: the k nearest rows of vectors (vec_id, embedding) for each row whose vec_id is divisible by every."""
     spark = vectors.sparkSession
     v = F.col("embedding").cast("array<double>")
     fine = F.col("vec_id").isNotNull() & v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists(v, lambda x: x != 0)
@@ -198,18 +280,35 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     sample = np.array([r["v"] for r in points.orderBy("point").limit(SAMPLE).select("v").collect()], np.float64)
     graph = spark.sparkContext.broadcast(CentroidGraph(fit(_unit(sample), lists)))
 
-    index = save(points.select("point", "v", "ids").mapInArrow(_assign(graph), "list int, point long, v array<double>, ids array<long>"))
-    lengths = index.groupBy("list").count().select("list", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+    index = save(points.select("point", "v", "ids").mapInArrow(_assign(graph), "list int, point long, v array<double>, ids array<long>, angle double"))
+    sizes = index.groupBy("list").agg(F.count("*").alias("n"), F.count("angle").alias("own"), F.max("angle").alias("radius")).orderBy("list").collect()
+    lengths = spark.createDataFrame([(r["list"], -(-r["n"] // BLOCK)) for r in sizes], "list int, blocks int")
     asked = rows.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.xxhash64("v").alias("query"), "vec_id", "v")
     asked = save(asked)
-    routed = asked.groupBy("query").agg(F.first("v").alias("q")).mapInArrow(_route(graph), "list int, query long, q array<double>")
+    queries = save(asked.groupBy("query").agg(F.first("v").alias("q")))
+    routed = queries.mapInArrow(_route(graph), "list int, query long, q array<double>")
     routed = routed.join(F.broadcast(lengths), "list").select("list", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "query", "q")
     blocks = index.join(F.broadcast(lengths), "list").select("list", F.pmod(F.xxhash64("point"), F.col("blocks")).cast("int").alias("block"), "point", "v", "ids")
-    found = routed.groupBy("list", "block").cogroup(blocks.groupBy("list", "block")).applyInArrow(_search(k), "query long, point long, score double, ids array<long>")
-    # a point found in several lists counts once; of the best k + 1 points each query takes k ids but its own
-    found = found.groupBy("query", "point").agg(F.first("score").alias("score"), F.first("ids").alias("ids"))
-    found = found.select("query", "score", F.explode("ids").alias("vec_id"))
-    best = found.groupBy("query").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("far"), "vec_id"))), 1, 4 * (k + 1)).alias("best"))
+    result = "query long, point long, score double, ids array<long>"
+    found = routed.groupBy("list", "block").cogroup(blocks.groupBy("list", "block")).applyInArrow(_search(k), result)
+    # of the best k + 1 ids each query takes k but its own, so no score below the last of them matters
+    least = _best(found, k + 1).select("query", F.when(F.size("best") > k, -F.col("best")[k]["far"]).alias("least"))
+    bounded = save(queries.join(least, "query", "left").select("query", "q", F.coalesce("least", F.lit(-2.0)).alias("least")))
+
+    own = [(r["list"], -(-r["own"] // BLOCK)) for r in sizes if r["own"]]
+    first = np.concatenate([[0], np.cumsum([b for _, b in own])])
+    shards = int(min(first[-1], max(FEWEST, n // SHARD)))
+    parts = max(1, -(-bounded.count() // PART))
+    radius = np.full(len(graph.value.c), -np.inf)
+    radius[[j for j, _ in own]] = [r["radius"] for r in sizes if r["own"]]
+    radii = spark.sparkContext.broadcast(radius)
+    units = spark.sparkContext.broadcast((np.repeat([j for j, _ in own], [b for _, b in own]), np.arange(first[-1]) % shards))
+    starts = spark.createDataFrame([(j, b, int(at)) for (j, b), at in zip(own, first)], "list int, blocks int, start int")
+    dealt = index.where("angle is not null").join(F.broadcast(starts), "list")
+    dealt = dealt.select(F.pmod(F.col("start") + F.pmod(F.xxhash64("point"), F.col("blocks")), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), "list", "point", "v", "ids")
+    reached = bounded.mapInArrow(_reach(graph, radii, units), "shard int, query long, q array<double>, least double").withColumn("part", F.pmod("query", F.lit(parts)).cast("int"))
+    found = reached.groupBy("shard", "part").cogroup(dealt.groupBy("shard", "part")).applyInArrow(_search_shard(k, graph, radii), result)
+    best = _best(found, 4 * (k + 1))
     out = asked.select("query", F.col("vec_id").alias("query_id")).distinct().join(best, "query")
     out = out.withColumn("best", F.slice(F.filter("best", lambda x: x["vec_id"] != F.col("query_id")), 1, k))
     return out.select("query_id", F.posexplode("best").alias("p", "b")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), "b.vec_id", (-F.col("b.far")).alias("score"))

@@ -413,6 +413,16 @@ def test_nearest_recall(spark):
     assert all(sorted(g.values()) == [g[i] for i in range(1, len(g) + 1)] for g in got.values())
 
 
+def test_nearest_is_exact_over_many_lists(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "LIST", 4)  # 500 lists, of which the first search opens 48 at most
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    want = exact_nearest(rows_of(df.select("vec_id", "embedding")))
+    got = {}
+    for r in nearest.nearest(df).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((-r["score"], r["vec_id"]))
+    assert got == want
+
+
 def test_nearest_of_odd_rows(spark):
     rng = np.random.default_rng(4)
     same = [0.5, 0.25, -1.0]
