@@ -1,6 +1,8 @@
 """Main text of web pages: site templates are found by hashing element subtrees and counting them per host, and removed together with what markup names as menus, adverts and the like.
 
-A subtree is deleted if it recurs, with equal tags, classes and words, on at least RECURS pages and a share SHARE of the pages of its host.
+A subtree is deleted if it recurs, with equal tags, classes and words, in at least RECURS bodies and a share SHARE of the bodies of its host. A body is a
+page's text as markup alone gives it, so copies of a page count once. Near copies differ in their bodies, but they share most of their text: where deletion would
+take more than half of a page's text, only what recurs in a share WIDE of the host's bodies goes, and nothing if that leaves no text.
 An <article> or <main> is the author's own, so subtrees inside are never compared: copies of a page, or a paragraph that an author repeats, stay. Pages without such an element are compared as a whole.
 
 Blocks are the text between block-level tags. Defined results: null or empty html gives an empty text; unclosed, truncated and stray tags are repaired as browsers roughly do; repeated rows and null ids give a row each; a null url is a host of its own without templates.
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if, save
 
-RECURS, SHARE = 5, 0.05
+RECURS, SHARE, WIDE = 5, 0.05, 0.5
 BROADCAST_ROWS = 50_000
 #: Elements of HTML by how they are treated.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -111,7 +113,7 @@ def _own(node: Node) -> list[Node]:
 
 
 def subtree_hashes(root: Node, inside: list[Node]) -> dict[int, int]:
-    """Hash by id() of each element that holds text, but for those that are in, or hold, one of inside."""
+    """Hash by id() of each element that holds text, but for those that are in, or hold, one of inside, and for noise, which is no text of the page."""
     import xxhash
 
     out, keep = {}, {id(x) for x in inside}
@@ -121,6 +123,8 @@ def subtree_hashes(root: Node, inside: list[Node]) -> dict[int, int]:
         x, ready = todo.pop()
         if id(x) in keep:
             done[id(x)] = (0, True, True)
+        elif x.noise and x.tag:
+            done[id(x)] = (0, False, False)
         elif not ready:
             todo.append((x, True))
             todo += [(p, False) for p in x.parts if isinstance(p, Node)]
@@ -144,13 +148,26 @@ def _signed(h: int) -> int:
     return h - 2**64 if h >= 2**63 else h
 
 
-def text_of(source: str, drop: frozenset[int] = frozenset()) -> str:
-    """Main text of a page; drop: signed hashes of its host's template subtrees."""
+def text_of(source: str, drop: frozenset[int] = frozenset(), wide: frozenset[int] = frozenset()) -> str:
+    """Main text of a page; drop: signed hashes of its host's template subtrees, wide: those of them that most of the host has."""
     if not source:
         return ""
     root = parse(source)
     own = _own(root)
-    gone = {k for k, h in subtree_hashes(root, own).items() if _signed(h) in drop} if drop else set()
+    whole = _emit(own or [root], set())
+    if not drop:
+        return whole
+    hashes = {k: _signed(h) for k, h in subtree_hashes(root, own).items()}
+    for some in (drop, wide):
+        gone = {k for k, h in hashes.items() if h in some}
+        text = _emit(own or [root], gone) if gone else whole
+        if 2 * len(text) >= len(whole) or some is wide and text and not own:
+            return text
+    return whole
+
+
+def _emit(nodes: list[Node], gone: set[int]) -> str:
+    """The blocks of nodes without noise and what is gone by id()."""
     blocks: list[str] = []
     line: list[str] = []
 
@@ -161,7 +178,7 @@ def text_of(source: str, drop: frozenset[int] = frozenset()) -> str:
                 blocks.append(s)
             line.clear()
 
-    todo: list = list(reversed(own or [root]))
+    todo: list = list(reversed(nodes))
     while todo:
         x = todo.pop()
         if x is None:
@@ -178,28 +195,33 @@ def text_of(source: str, drop: frozenset[int] = frozenset()) -> str:
 
 
 def _templates(batches):
+    """(host, body, subtree) of each subtree of a page, and one row with a null subtree."""
     import pyarrow as pa
+    import xxhash
 
     for batch in batches:
-        hosts, hashes = [], []
+        hosts, bodies, hashes = [], [], []
         for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             if host is not None and source:
                 root = parse(source)
-                for h in set(subtree_hashes(root, _own(root)).values()):
+                own = _own(root)
+                body = _signed(xxhash.xxh3_64_intdigest(_emit(own or [root], set()).encode("utf-8", "surrogatepass")))
+                for h in (None, *set(subtree_hashes(root, own).values())):
                     hosts.append(host)
-                    hashes.append(_signed(h))
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], names=["host", "subtree"])
+                    bodies.append(body)
+                    hashes.append(h if h is None else _signed(h))
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(bodies, pa.int64()), pa.array(hashes, pa.int64())], names=["host", "body", "subtree"])
 
 
 def _extract(batches):
     import pyarrow as pa
 
     for batch in batches:
-        texts, last, drop = [], None, frozenset()
-        for source, gone in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            if gone != last:
-                last, drop = gone, frozenset(gone or ())
-            texts.append(text_of(source or "", drop))
+        texts, last, drop, most = [], None, frozenset(), frozenset()
+        for source, gone, wide in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+            if (gone, wide) != last:
+                last, drop, most = (gone, wide), frozenset(gone or ()), frozenset(wide or ())
+            texts.append(text_of(source or "", drop, most))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
@@ -208,8 +230,10 @@ def extract_text(pages: DataFrame) -> DataFrame:
     host = F.regexp_extract(F.lower("url"), r"^[a-z][a-z0-9+.-]*://(?:[^/?#]*@)?([^/?#:]+)", 1)
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     base = base.withColumn("host", F.nullif(host, F.lit("")))
-    seen = base.select("host", "html").mapInArrow(_templates, "host string, subtree long").groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= RECURS)
-    sizes = base.where("host is not null").groupBy("host").agg(F.count("*").alias("pages"))
-    common = seen.join(sizes, "host").where(F.col("n") >= F.col("pages") * SHARE).groupBy("host").agg(F.collect_list("subtree").alias("gone"))
-    common = save(common.withColumn("gone", F.array_sort("gone")))
-    return base.join(broadcast_if(common, BROADCAST_ROWS), "host", "left").select("page_id", "url", "html", "gone").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    seen = base.select("host", "html").mapInArrow(_templates, "host string, body long, subtree long").groupBy("host", "subtree").agg(F.count_distinct("body").alias("n"))
+    seen = save(seen.where((F.col("n") >= RECURS) | F.col("subtree").isNull()))
+    sizes = seen.where("subtree is null").select("host", F.col("n").alias("bodies"))
+    common = seen.where("subtree is not null").join(sizes, "host").where(F.col("n") >= F.col("bodies") * SHARE)
+    common = common.groupBy("host").agg(F.array_sort(F.collect_list("subtree")).alias("gone"), F.array_sort(F.collect_list(F.when(F.col("n") >= F.col("bodies") * WIDE, F.col("subtree")))).alias("wide"))
+    common = save(common)
+    return base.join(broadcast_if(common, BROADCAST_ROWS), "host", "left").select("page_id", "url", "html", "gone", "wide").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")

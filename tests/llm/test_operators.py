@@ -387,6 +387,20 @@ def test_templates_of_a_host_go(spark):
     assert html.extract_text(df).count() == len(pages) and html.extract_text(df.limit(0)).isEmpty()
 
 
+def test_copies_of_a_page_are_no_template(spark):
+    menu = "<div><p>Our menu</p></div>"
+    pages = [(i, f"http://a.example/{i}", f"<body>{menu}<p>a story of its own, number {i}</p>") for i in range(60)]
+    pages += [(100 + i, f"http://a.example/c?{i}", f"<body>{menu}<p>one text</p><p>in two parts</p>") for i in range(9)]
+    pages += [(200 + i, f"http://a.example/n{i}", f"<body>{menu}<p>a text that is nearly equal</p><p>on several pages</p><p>but for {i}</p>") for i in range(6)]
+    pages += [(300 + i, f"http://b.example/{i}", "<body><p>nothing but copies</p>") for i in range(7)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    out = {r["page_id"]: r["text"] for r in html.extract_text(df).collect()}
+    assert all(out[i] == f"a story of its own, number {i}" for i in range(60))
+    assert all(out[100 + i] == "one text\nin two parts" for i in range(9))
+    assert all(out[200 + i] == f"a text that is nearly equal\non several pages\nbut for {i}" for i in range(6)), out[200]
+    assert all(out[300 + i] == "nothing but copies" for i in range(7))
+
+
 # 10 nearest neighbours
 
 
