@@ -3,7 +3,8 @@
 A subtree is deleted if it recurs, with equal tags, classes and words, in at least RECURS bodies and a share SHARE of the bodies of its host. A body is a
 page's text as markup alone gives it, so copies of a page count once. Near copies differ in their bodies, but they share most of their text: where deletion would
 take more than half of a page's text, only what recurs in a share WIDE of the host's bodies goes, and nothing if that leaves no text.
-An <article> or <main> is the author's own, so subtrees inside are never compared: copies of a page, or a paragraph that an author repeats, stay. Pages without such an element are compared as a whole.
+Inside an <article> or <main> counts decide over containers (PARTS) and over blocks with a class, id or role. A bare paragraph, heading or list item there is prose: authors repeat headings and lines,
+and near copies share them, so it goes only with a container that recurs. Pages without such an element are compared as a whole.
 
 Blocks are the text between block-level tags. Defined results: null or empty html gives an empty text; unclosed, truncated and stray tags are repaired as browsers roughly do; repeated rows and null ids give a row each; a null url is a host of its own without templates.
 """
@@ -25,6 +26,7 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
 DROP = frozenset("head script style noscript template svg canvas iframe object form button select option textarea input nav header footer aside menu dialog audio video map title".split())
 BLOCK = frozenset("address article blockquote body br caption center dd details div dl dt fieldset figcaption figure h1 h2 h3 h4 h5 h6 hr html li main ol p pre section summary table tbody td tfoot th thead tr ul".split())
+PARTS = frozenset("div section ul ol dl table figure details center fieldset".split())
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 LIKE = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 STOPS = frozenset("ul ol dl table article main body section div nav aside footer header form".split())
@@ -113,23 +115,21 @@ def _own(node: Node) -> list[Node]:
 
 
 def subtree_hashes(root: Node, inside: list[Node]) -> dict[int, int]:
-    """Hash by id() of each element that holds text, but for those that are in, or hold, one of inside, and for noise, which is no text of the page."""
+    """Hash by id() of each element that holds text, but for those that hold, or are, one of inside, and for noise, which is no text of the page. In inside only PARTS and blocks with a class, id or role count."""
     import xxhash
 
     out, keep = {}, {id(x) for x in inside}
     done: dict[int, tuple[int, bool, bool]] = {}
-    todo = [(root, False)]
+    todo = [(root, False, False)]
     while todo:
-        x, ready = todo.pop()
-        if id(x) in keep:
-            done[id(x)] = (0, True, True)
-        elif x.noise and x.tag:
+        x, ready, within = todo.pop()
+        if x.noise and x.tag:
             done[id(x)] = (0, False, False)
         elif not ready:
-            todo.append((x, True))
-            todo += [(p, False) for p in x.parts if isinstance(p, Node)]
+            todo.append((x, True, within))
+            todo += [(p, False, within or id(x) in keep) for p in x.parts if isinstance(p, Node)]
         else:
-            h, text, own = xxhash.xxh3_64(f"{x.tag} {x.attrs}"), False, False
+            h, text, own = xxhash.xxh3_64(f"{x.tag} {x.attrs}"), False, id(x) in keep
             for p in x.parts:
                 if isinstance(p, Node):
                     a, b, c = done[id(p)]
@@ -139,7 +139,7 @@ def subtree_hashes(root: Node, inside: list[Node]) -> dict[int, int]:
                     h.update(s.encode("utf-8", "surrogatepass"))
                     text = True
             done[id(x)] = (h.intdigest(), text, own)
-            if text and not own and x.tag:
+            if text and not own and x.tag and (not within or x.tag in PARTS or x.attrs and x.tag in BLOCK):
                 out[id(x)] = h.intdigest()
     return out
 

@@ -401,6 +401,18 @@ def test_copies_of_a_page_are_no_template(spark):
     assert all(out[300 + i] == "nothing but copies" for i in range(7))
 
 
+def test_templates_inside_articles_go(spark):
+    box, line = "<div><p>Join our club</p></div>", "<p class='x1'>Follow us</p>"
+    pages = [(i, f"http://{'a' if k else 'b'}.example/{i}", f"<body><{tag}><h2>Contents</h2><p>a story that is long enough, number {i}</p>{box}{line}<p>As ever.</p></{tag}>") for k, tag in enumerate(("article", "main")) for i in range(k * 50, k * 50 + 8)]
+    pages += [(200 + i, "http://c.example/", f"<article><h1>Title</h1>{box}<p>text</p></article>") for i in range(9)]
+    pages += [(300 + i, "http://d.example/", f"<article><div><p>a text that is nearly equal on all pages</p></div><p>{i}</p></article>") for i in range(9)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    out = {r["page_id"]: r["text"] for r in html.extract_text(df).collect()}
+    assert all(out[i] == f"Contents\na story that is long enough, number {i}\nAs ever." for i in [*range(8), *range(50, 58)]), out[0]
+    assert all(out[200 + i] == "Title\nJoin our club\ntext" for i in range(9))
+    assert all(out[300 + i] == f"a text that is nearly equal on all pages\n{i}" for i in range(9))
+
+
 # 10 nearest neighbours
 
 
