@@ -210,6 +210,13 @@ def _(spark, d):
     return rv.revs_diff(leaves, asked).where("possible_ancestors is not null").select("id", F.size("possible_ancestors").cast("long").alias("n"))
 
 
+@query("possible_ancestors_all", f"SELECT id, count(*) AS n FROM {_LEAVES} WHERE pos < 5 GROUP BY id")
+def _(spark, d):
+    leaves = _leaves(spark, d)
+    asked = leaves.select("id").distinct().select("id", F.lit("5-unknown").alias("rev"))
+    return rv.revs_diff(leaves, asked).where("possible_ancestors is not null").select("id", F.size("possible_ancestors").cast("long").alias("n"))
+
+
 @query("bulk_get", f"SELECT k.n, k.id, r.pos || '-' || r.rev AS found, CASE WHEN r.id IS NULL THEN 'not_found' END AS error FROM (SELECT o_orderkey AS n, (o_orderkey * 2)::VARCHAR AS id FROM orders) k LEFT JOIN (SELECT * FROM {_RANKED} WHERE k = 1 AND NOT del) r ON r.id = k.id")
 def _(spark, d):
     asked = read(spark, d, "orders").select(F.col("o_orderkey").alias("n"), (F.col("o_orderkey") * 2).cast("string").alias("id"), F.lit(None).cast("string").alias("rev"))

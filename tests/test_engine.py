@@ -285,3 +285,10 @@ def test_catalogue_against_sql(spark):
         if sorted(repr(tuple(r[i] for i in order)) for r in rel.fetchall()) != sorted(repr(tuple(r)) for r in df.collect()):
             wrong.append(name)
     assert not wrong
+
+
+def test_ancestors_of_all_orders(spark):
+    sf = "/root/testdata/sf0.001"
+    got = {r["id"] for r in queries.QUERIES["possible_ancestors_all"](spark, sf).collect()}
+    low = {str(r[0]) for r in spark.read.parquet(f"{sf}/lineitem.parquet").where("l_linenumber < 5").select("l_orderkey").distinct().collect()}
+    assert got == low and {int(i) % 3 for i in got} == {0, 1, 2}
