@@ -2,8 +2,8 @@
 
 Both models are of order 1, and rare pairs lean on the frequency of the character. They are trained from labelled samples: the values that the fixed
 patterns find in the corpus (random), and the longest plain words of it (ordinary), each up to SAMPLE strings that are
-chosen by hash over all documents, with the two lists below as a floor. A token is reported as kind "markov" if the log-likelihood ratio per character, less the noise of
-its length, says random. Base spans stay; a token that meets a base span adds none.
+chosen by hash over all documents, with the lists below as a floor; numbers, dates, runs and sequences of characters are ordinary. A token of SHORTEST characters or more, as long as
+the labelled values, is reported as kind "markov" if the log-likelihood ratio per character, less the noise of its length, says random. Base spans stay; a token that meets a base span adds none.
 
 Offsets are code points, ends exclusive. Defined results: a null text counts as empty; repeated rows and null ids give a row each.
 """
@@ -26,8 +26,10 @@ _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x2
 _KEYS = ("passw", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{24,}")
-_TOKEN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 _WORD = re.compile(r"(?<![A-Za-z0-9_])[A-Za-z_]{8,40}(?![A-Za-z0-9_])")
+#: Characters of a token, and of a value that trains the random model, at least.
+SHORTEST = 16
+_TOKEN = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{SHORTEST},}}")
 #: Labelled strings per class that train the models, at most.
 SAMPLE = 5_000
 #: Log-likelihood ratio per character above which a token is random.
@@ -83,33 +85,48 @@ class Ratio:
         # random strings of the usual alphabets stand for kinds of secrets that the corpus holds none of
         for chars in (ALPHABET[:62], "0123456789abcdef", ALPHABET):
             rand = [*rand, *("".join(made.choices(chars, k=40)) for _ in range(400))]
-        self.rand, self.plain = Markov(rand), Markov([*plain, *ORDINARY])
+        # numbers, dates, runs and sequences are ordinary
+        numbers = ["".join(made.choices(string.digits, k=16)) for _ in range(400)]
+        numbers += [sep.join(f"{made.randrange(10**k):0{k}}" for k in (4, 2, 2, 4)) for sep in "-/_" for _ in range(50)]
+        runs = [c * 6 for c in ALPHABET] + [string.ascii_lowercase, string.ascii_uppercase, string.digits] * 4
+        self.rand, self.plain = Markov(rand), Markov([*plain, *ORDINARY, *numbers, *runs])
 
     def __call__(self, s: str) -> float:
         return (self.rand(s) - self.plain(s)) / len(s)
 
     def random(self, s: str) -> bool:
-        return len(set(s)) >= 10 and any(c.isdigit() for c in s) and self(s) > MARGIN + 2 / math.sqrt(len(s))
+        return self(s) > MARGIN + 2 / math.sqrt(len(s))
+
+
+def _first(rows: set[tuple[int, str]]) -> list[tuple[int, str]]:
+    """Of each label the SAMPLE rows that train() picks first, by Spark's xxhash64 of the string."""
+    import xxhash
+
+    def place(row):
+        h = xxhash.xxh64_intdigest(row[1].encode("utf-8", "surrogatepass"), 42)
+        return (h - 2**64 if h >= 2**63 else h, row[1])
+
+    return [row for k in (0, 1) for row in sorted((r for r in rows if r[0] == k), key=place)[:SAMPLE]]
 
 
 def _labelled(batches):
-    """Labelled strings: values of base matches, and long plain words (a hash picks them, so that any partitioning gives the same)."""
+    """Labelled strings: values of base matches, and long plain words. Those that can't be among the first SAMPLE are left out, so any partitioning gives the same."""
     import pyarrow as pa
-    import xxhash
 
+    rows = set()
     for batch in batches:
-        rows = set()
         for text in batch.column(0).to_pylist():
             if not text:
                 continue
             for kind, a, b in base_spans(text):
                 value = _ASSIGN.match(text, a)[2] if kind == "assign" else text[a:b]
-                if len(value) >= 16:
+                if len(value) >= SHORTEST:
                     rows.add((1, value[:200]))
-            if xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) % 16 == 0:
-                rows.update((0, w) for w in _WORD.findall(text))
-        rows = sorted(rows)
-        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string())], names=["label", "s"])
+            rows.update((0, w) for w in _WORD.findall(text))
+            if len(rows) > 8 * SAMPLE:
+                rows = set(_first(rows))
+    rows = _first(rows)
+    yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.string())], names=["label", "s"])
 
 
 def train(docs: DataFrame) -> Ratio:

@@ -124,6 +124,20 @@ def test_markov_models_tell_random_strings(spark, documents):
     assert secrets.scan_secrets(documents.limit(0)).isEmpty()
 
 
+def test_the_ratio_alone_decides(spark, documents):
+    ratio = secrets.train(documents)
+    rng = np.random.default_rng(6)
+    make = lambda chars, k: ["".join(rng.choice(list(chars), k)) for _ in range(200)]
+    found = lambda tokens: sum([s[0] for s in secrets.all_spans(f"see {t} .", ratio)[1]] == ["markov"] for t in tokens)
+    assert found(make(secrets.ALPHABET[:52], 24)) >= 190 and found(make(secrets.ALPHABET[:62], 16)) >= 190 and found(make(secrets.ALPHABET[:62], 19)) >= 190
+    ordinary = [*make("0123456789", 16), *make("0123456789", 24), *(c * 30 for c in secrets.ALPHABET), "2023-01-01-12-00-00-00", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"]
+    assert found(ordinary) <= 0.01 * len(ordinary)
+    # each partition's first strings hold the first of all
+    rows = {(0, w) for t in rows_of(documents.select("text")) for w in secrets._WORD.findall(t[0] or "")}
+    want = [r["s"] for r in spark.createDataFrame(sorted(rows), "label int, s string").orderBy(F.xxhash64("s"), "s").limit(secrets.SAMPLE).collect()]
+    assert [w for _, w in secrets._first(rows)] == want and len(want) == secrets.SAMPLE
+
+
 # 3 toxicity
 
 
