@@ -92,3 +92,39 @@ def latest(rows: DataFrame, key: str = "id", seq: str = "seq") -> DataFrame:
 def run_stream(stream: DataFrame, checkpoint: str, each: Callable[[DataFrame, int], None]) -> None:
     """Drains what is there, batch by batch, and returns; a later call goes on from the checkpoint."""
     stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def sink_latest(path: str, key: str = "id", seq: str = "seq") -> Callable[[DataFrame, int], None]:
+    """For run_stream: a table at path, in a folder for each batch, that holds one row per key, that of the greatest seq. A batch that is run again, or rows that come late or twice, change nothing. read_latest gives the table."""
+
+    def each(rows: DataFrame, batch: int) -> None:
+        old = _versions(rows.sparkSession, path)
+        before = [n for n in old if n < batch]
+        if before:
+            rows = rows.sparkSession.read.schema(rows.schema).parquet(f"{path}/batch={before[-1]}").unionByName(rows)
+        latest(rows, key, seq).write.mode("overwrite").parquet(f"{path}/batch={batch}")
+        for n in before[:-1]:
+            _delete(rows.sparkSession, f"{path}/batch={n}")
+
+    return each
+
+
+def read_latest(spark: SparkSession, path: str) -> DataFrame:
+    """The table of sink_latest after its last whole batch."""
+    return spark.read.parquet(f"{path}/batch={_versions(spark, path)[-1]}")
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """Batches that were written to their end, in order."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    if not fs.exists(folder):
+        return []
+    found = [f.getPath() for f in fs.listStatus(folder) if f.getPath().getName().startswith("batch=")]
+    return sorted(int(p.getName()[6:]) for p in found if fs.exists(jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)

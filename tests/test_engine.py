@@ -292,3 +292,23 @@ def test_ancestors_of_all_orders(spark):
     got = {r["id"] for r in queries.QUERIES["possible_ancestors_all"](spark, sf).collect()}
     low = {str(r[0]) for r in spark.read.parquet(f"{sf}/lineitem.parquet").where("l_linenumber < 5").select("l_orderkey").distinct().collect()}
     assert got == low and {int(i) % 3 for i in got} == {0, 1, 2}
+
+
+def test_sink_latest_holds_one_row_per_id_over_batches(spark, tmp_path):
+    folder, table, check = str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "c")
+    schema, sink = "id string, seq long, body string", ch.sink_latest(table)
+    commit = lambda *rows: spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+    run = lambda: ch.run_stream(ch.changes_stream(spark, folder, schema), check, sink)
+    got = lambda: sorted(tuple(r) for r in ch.read_latest(spark, table).collect())
+    commit(("a", 1, "a1"), ("b", 2, "b2"), ("a", 3, "a3"))
+    run()
+    assert got() == [("a", 3, "a3"), ("b", 2, "b2")]
+    commit(("b", 5, "b5"), ("a", 2, "late"), ("c", 4, "c4"))
+    run()
+    want = [("a", 3, "a3"), ("b", 5, "b5"), ("c", 4, "c4")]
+    assert got() == want
+    sink(spark.createDataFrame([("b", 5, "b5"), ("a", 2, "late"), ("c", 4, "c4")], schema), 1)
+    assert got() == want
+    commit(("a", 9, "a9"))
+    run()
+    assert got() == [("a", 9, "a9"), *want[1:]]
