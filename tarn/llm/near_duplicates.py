@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, keyed, releasing, save
+from .common import broadcast_if, keyed, releasing, save, with_keys, without
 from .components import components
 from .shingles import mix, set_id, shingle_sets
 
@@ -307,8 +307,8 @@ def _pairs(qualify: DataFrame, members: DataFrame) -> DataFrame:
     return qualify.join(members, "g").select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id reachable by links, its own included)."""
+def _classes(docs: DataFrame) -> DataFrame:
+    """One row per row of docs (doc_id, text): doc_id, its name (_d, _r), n shingles, and its class c; null without shingles. A saved table."""
     spark = docs.sparkSession
     base = keyed(docs)
     measured = save(base.select("doc_id", "text", "_d", "_r").mapInArrow(releasing(_measure), "doc_id long, _d long, _r long, n long, sid long, piece int, blob binary"))
@@ -331,17 +331,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         pairs = pairs.union(more)
         links = save(links.union(join.links(more)))
     roots = save(components(links))
-    classes = sets.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").select("doc_id", "_d", "n", F.when(F.col("n") > 0, F.coalesce("root", "sid")).alias("c"))
-    classes = save(classes)
+    classes = sets.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").select("doc_id", "_d", "_r", "n", F.when(F.col("n") > 0, F.coalesce("root", "sid")).alias("c"))
+    return save(classes)
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id reachable by links, its own included)."""
+    classes = _classes(docs)
     lows = classes.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("low"), F.count("*").alias("rows")).where("rows > 1").select("c", "low")
     return classes.join(lows, "c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("low", "doc_id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The rows of docs, with all columns, that have the smallest doc_id of their class; rows of one id are one document, and of its rows one stays. Rows without an id stay."""
-    found = save(near_duplicates(docs).select("doc_id", "component_id").where("doc_id is not null"))
-    gone = save(found.where("doc_id <> component_id").select("doc_id").distinct())
-    rest = docs.join(broadcast_if(gone, 2 * BROADCAST_ROWS), "doc_id", "left_anti")
-    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
+    """One row of each class, with all columns: that with the smallest doc_id, or where several have it, or none has an id, the smallest hash of its text. Rows equal in id and text are one document. Rows without shingles stay, and of those without an id all do."""
+    classes = _classes(docs)
+    first = classes.where("c is not null").groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "_d", "_r")).alias("first"), F.count("*").alias("rows")).where("rows > 1").select("c", "first")
+    gone = classes.join(first, "c").where((F.col("_d") != F.col("first._d")) | (F.col("_r") != F.col("first._r"))).select("_d", "_r").distinct()
+    rest = without(docs, save(gone), 2 * BROADCAST_ROWS)
+    again = save(classes.where("c is not null or doc_id is not null").groupBy("_d", "_r").count().where("count > 1").select("_d", "_r"))
+    if again.isEmpty():
         return rest
-    return rest.where("doc_id is not null").dropDuplicates(["doc_id"]).union(rest.where("doc_id is null"))
+    named = again.select(F.col("_d").alias("__tarn_d"), F.col("_r").alias("__tarn_r"))
+    repeated = with_keys(rest).join(broadcast_if(named, 2 * BROADCAST_ROWS), ["__tarn_d", "__tarn_r"], "left_semi")
+    return without(rest, again, 2 * BROADCAST_ROWS).unionByName(repeated.dropDuplicates(["__tarn_d", "__tarn_r"]).drop("__tarn_d", "__tarn_r"))

@@ -484,6 +484,16 @@ def test_split_by_pretokens_is_the_library_s(documents):
 # the pipeline
 
 
+def test_keep_first_names_rows_by_id_and_text(spark):
+    one, two, three, four = (" ".join(f"{w}{i}" for i in range(40)) for w in "abcd")
+    rows = [(1, one), (5, one), (5, two), (6, three), (6, four), (6, four), (None, four), (None, "x " + two), (None, "p q r s t u v w"), (None, "p q r s t u v w"), (7, ""), (7, ""), (8, None), (None, ""), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("more", F.lit(1))
+    out = near_duplicates.keep_first(df)
+    got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+    assert out.columns == df.columns
+    assert got == sorted([(1, one), (5, two), (6, three), (6, four), (None, "p q r s t u v w"), (7, ""), (8, None), (None, ""), (None, "")], key=str)
+
+
 def test_pipeline_stages_on_a_small_table(spark, tmp_path):
     import corpus_pipeline
 
