@@ -119,6 +119,13 @@ def _(spark, d):
     return rows.select("o_orderkey", "db.o_custkey", "db.o_orderstatus")
 
 
+@query("find_project_nested_all", "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_totalprice > 450000")
+def _(spark, d):
+    t = read(spark, d, "orders").select("o_orderkey", F.struct("o_custkey", "o_orderstatus", "o_totalprice").alias("db"))
+    rows = find(Collection(t, "o_orderkey"), {"selector": {"db.o_totalprice": {"$gt": 450000}}, "fields": ["o_orderkey", "db.o_custkey", "db.o_orderstatus", "nope"], "limit": max(1, t.count())}).df
+    return rows.select("o_orderkey", "db.o_custkey", "db.o_orderstatus")
+
+
 @query("find_partial_index", "SELECT user_id AS k0, event_id AS id FROM events WHERE event_type = 'purchase'")
 def _(spark, d):
     c = Collection(read(spark, d, "events"), "event_id")
@@ -160,6 +167,14 @@ def _(spark, d):
     return t.select("event_id", F.when(F.col("event_id") % 2 == 1, "").otherwise(F.substring("k", 1, 1)).alias("first"))
 
 
+_CORNERS = f"(SELECT event_id, ((w + 180) * 4)::BIGINT * 16777216 // 1440 AS w, ((e + 180) * 4)::BIGINT * 16777216 // 1440 AS e, ((s + 90) * 4)::BIGINT * 16777216 // 720 AS s, ((n + 90) * 4)::BIGINT * 16777216 // 720 AS n FROM {_BOXES})"
+
+
+@query("spatial_quadkey_whole", f"SELECT event_id, coalesce(string_agg(((w >> (24 - k)) & 1) + 2 * ((s >> (24 - k)) & 1), '' ORDER BY k) FILTER (w >> (24 - k) = e >> (24 - k) AND s >> (24 - k) = n >> (24 - k)), '') AS key FROM {_CORNERS}, range(1, 25) l(k) GROUP BY event_id")
+def _(spark, d):
+    return _boxes(spark, d).select("event_id", quadkey(F.col("w"), F.col("s"), F.col("e"), F.col("n")).alias("key"))
+
+
 # documents by id, and revisions: each lineitem row is a leaf of its order
 
 

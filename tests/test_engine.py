@@ -312,3 +312,11 @@ def test_sink_latest_holds_one_row_per_id_over_batches(spark, tmp_path):
     commit(("a", 9, "a9"))
     run()
     assert got() == [("a", 9, "a9"), *want[1:]]
+
+
+def test_whole_projection_and_whole_keys(spark):
+    sf = "/root/testdata/sf0.1"
+    want = spark.read.parquet(f"{sf}/orders.parquet").where("o_totalprice > 450000").count()
+    assert queries.QUERIES["find_project_nested_all"](spark, sf).count() == want > 100
+    keys = queries.QUERIES["spatial_quadkey_whole"](spark, "/root/testdata/sf0.001")
+    assert {0, 24} <= {len(r["key"]) for r in keys.collect()}
