@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
+import re
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,20 +22,65 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder that driver and executors share. It is spark.checkpoint.dir, and a temporary folder only where that is unset, as in tests."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A temporary folder stands in for it only where all runs on one machine, as in tests."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="tarn-"))
         folder = sc.getCheckpointDir()
     return folder.rstrip("/")
 
 
+#: Bytes of a batch of rows that goes to a Python worker or comes back, roughly; a longer row is a batch of its own.
+BATCH_BYTES = 2 << 20
+#: Rows of a batch of the Parquet reader.
+READ_ROWS = 512
+_OPEN = threading.local()
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches of this session by bytes, and batches of the Parquet reader by fewer rows, unless the session has settings of its own: thousands of long texts are too much for a batch."""
+    known = spark._jsparkSession.sessionState().conf()
+    for key, value in (("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES), ("spark.sql.parquet.columnarReaderBatchSize", READ_ROWS)):
+        if not known.contains(key):
+            spark.conf.set(key, str(value))
+
+
 def save(df: DataFrame) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back: it cuts the lineage, and a lost executor costs no recomputation."""
-    path = f"{scratch(df.sparkSession)}/tarn-{uuid.uuid4().hex}"
+    """Writes df as Parquet into the shared folder and reads it back: it cuts the lineage, and a lost executor costs no recomputation. Within spare_tables() the table lasts until that ends."""
+    spark = df.sparkSession
+    bound_batches(spark)
+    path = f"{scratch(spark)}/tarn-{uuid.uuid4().hex}"
+    if tables := getattr(_OPEN, "tables", None):
+        tables[-1].append((spark, path))
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@contextlib.contextmanager
+def spare_tables():
+    """Deletes at its end the tables that save() has written within. What is read after that must have been saved outside."""
+    tables = _OPEN.__dict__.setdefault("tables", [])
+    tables.append([])
+    try:
+        yield
+    finally:
+        for spark, path in tables.pop():
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def outlive(df: DataFrame) -> DataFrame:
+    """save(), for a table that is read after the innermost spare_tables() has ended; it lasts as long as one around that."""
+    tables = getattr(_OPEN, "tables", [])
+    inner = tables.pop() if tables else None
+    try:
+        return save(df)
+    finally:
+        if inner is not None:
+            tables.append(inner)
 
 
 def broadcast_if(df: DataFrame, most_rows: int) -> DataFrame:
@@ -53,7 +101,7 @@ def release() -> None:
 
 
 def releasing(run):
-    """run, a function over Arrow batches, with release() once its task is through."""
+    """run, a function over Arrow batches or columns, with release() once its task is through."""
 
     def then_release(batches):
         yield from run(batches)
@@ -62,6 +110,19 @@ def releasing(run):
     return then_release
 
 
+def releasing_group(run):
+    """run, a function over the Arrow tables of a group or of two cogrouped ones, or over a key and two, with release() after each group that isn't small."""
+
+    def then_release(*args):
+        out = run(*args)
+        if sum(t.nbytes for t in args if hasattr(t, "nbytes")) > BATCH_BYTES:
+            release()
+        return out
+
+    # Spark counts the arguments
+    return [lambda a: then_release(a), lambda a, b: then_release(a, b), lambda a, b, c: then_release(a, b, c)][run.__code__.co_argcount - 1]
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z and nothing else."""
     return F.translate(c, ASCII_UPPER, ASCII_LOWER)

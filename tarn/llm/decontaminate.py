@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, broadcast_if, keyed, save, without
+from .common import ascii_lower, broadcast_if, keyed, outlive, save, spare_tables, without
 
 #: Between words, before A-Z is lower-cased.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -92,6 +92,7 @@ def proximity_matches(docs: DataFrame, first: str, second: str, slop: int) -> Da
     return near.select(F.nullif("_d", F.lit(-(2**63))).alias("doc_id"), "pos", "other")
 
 
+@spare_tables()
 def hits(base: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """(_d, _r, n_hit, items) of the rows of keyed docs that hold a window of an item; a saved table."""
     tests = save(phrases(items, window))
@@ -113,7 +114,7 @@ def hits(base: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     rows = rows.select("_d", "_r", F.filter(where, lambda x: F.size(x["at"]) > 0).alias("hits")).where(F.size("hits") > 0)
     places = F.flatten(F.transform("hits", lambda x: F.flatten(F.transform(x["at"], lambda y: F.sequence(y["at"], y["at"] + y["win"] - 1)))))
     rows = rows.select("_d", "_r", F.size(F.array_distinct(places)).cast("long").alias("n_hit"), F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda x: x["ids"])))).alias("items"))
-    return save(rows.dropDuplicates(["_d", "_r"]))
+    return outlive(rows.dropDuplicates(["_d", "_r"]))
 
 
 def keep_clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:

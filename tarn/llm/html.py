@@ -17,7 +17,7 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, save
+from .common import broadcast_if, releasing, save
 
 RECURS, SHARE, WIDE = 5, 0.05, 0.5
 BROADCAST_ROWS = 50_000
@@ -230,10 +230,10 @@ def extract_text(pages: DataFrame) -> DataFrame:
     host = F.regexp_extract(F.lower("url"), r"^[a-z][a-z0-9+.-]*://(?:[^/?#]*@)?([^/?#:]+)", 1)
     base = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     base = base.withColumn("host", F.nullif(host, F.lit("")))
-    seen = base.select("host", "html").mapInArrow(_templates, "host string, body long, subtree long").groupBy("host", "subtree").agg(F.count_distinct("body").alias("n"))
+    seen = base.select("host", "html").mapInArrow(releasing(_templates), "host string, body long, subtree long").groupBy("host", "subtree").agg(F.count_distinct("body").alias("n"))
     seen = save(seen.where((F.col("n") >= RECURS) | F.col("subtree").isNull()))
     sizes = seen.where("subtree is null").select("host", F.col("n").alias("bodies"))
     common = seen.where("subtree is not null").join(sizes, "host").where(F.col("n") >= F.col("bodies") * SHARE)
     common = common.groupBy("host").agg(F.array_sort(F.collect_list("subtree")).alias("gone"), F.array_sort(F.collect_list(F.when(F.col("n") >= F.col("bodies") * WIDE, F.col("subtree")))).alias("wide"))
     common = save(common)
-    return base.join(broadcast_if(common, BROADCAST_ROWS), "host", "left").select("page_id", "url", "html", "gone", "wide").mapInArrow(_extract, "page_id long, url string, text string, n_chars long")
+    return base.join(broadcast_if(common, BROADCAST_ROWS), "host", "left").select("page_id", "url", "html", "gone", "wide").mapInArrow(releasing(_extract), "page_id long, url string, text string, n_chars long")

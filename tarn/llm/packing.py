@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import load
-from .common import save
+from .common import releasing, releasing_group, save
 
 GROUP = 25_000
 
@@ -104,8 +104,8 @@ def _pack(size: int):
 def pack(docs: DataFrame, path: str, size: int = 1024, end: int = 2) -> DataFrame:
     """One row per piece of docs (doc_id, text): doc_id, piece, start, length, ids_crc32, sequence_id, offset. path: a byte-level BPE file, readable on every executor."""
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = save(base.mapInArrow(_encode(path, end, size), "doc_id long, n long, crcs array<long>, salt long"))
+    rows = save(base.mapInArrow(releasing(_encode(path, end, size)), "doc_id long, n long, crcs array<long>, salt long"))
     groups = max(1, -(-rows.count() // GROUP))
     rows = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "salt"), F.lit(groups)))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    return rows.groupBy("grp").applyInArrow(_pack(size), schema)
+    return rows.groupBy("grp").applyInArrow(releasing_group(_pack(size)), schema)

@@ -12,12 +12,13 @@ Offsets are code points, ends exclusive. Defined results: a null text counts as
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, keyed, save, with_keys
+from .common import broadcast_if, keyed, outlive, releasing, save, spare_tables, with_keys
 
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -100,8 +101,6 @@ def candidates(text: str, base: list) -> list[tuple[str, int, int, str, str]]:
 
 
 def _read(batches):
-    import pyarrow as pa
-
     spot = pa.list_(pa.struct([("kind", pa.string()), ("a", pa.int32()), ("b", pa.int32()), ("instance", pa.string()), ("pattern", pa.string())]))
     for batch in batches:
         for start in range(0, len(batch), 1000):
@@ -137,11 +136,12 @@ def _new():
 def _bootstrap(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, _d, _r, base, spots) of all rows, and (_d, _r, more) with the further spans of those that have any; both saved."""
     spot = "array<struct<kind: string, a: int, b: int, instance: string, pattern: string>>"
-    rows = save(keyed(docs).mapInArrow(_read, f"doc_id long, _d long, _r long, base array<struct<kind: string, a: int, b: int>>, spots {spot}"))
-    edges = rows.select(F.explode("spots").alias("s")).groupBy("s.instance", "s.pattern").agg(F.count("*").alias("n"), F.count_if(F.col("s.kind") != "").alias("seeds"))
-    good = save(score_graph(edges).where(F.col("trust") >= TRUST).select("instance", "pattern"))
-    judged = rows.select("_d", "_r", F.explode(_new()).alias("s")).select("_d", "_r", "s.a", "s.b", "s.instance", "s.pattern").join(broadcast_if(good, BROADCAST_ROWS), ["instance", "pattern"], "left_semi")
-    return rows, save(judged.groupBy("_d", "_r").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("more")))
+    rows = save(keyed(docs).mapInArrow(releasing(_read), f"doc_id long, _d long, _r long, base array<struct<kind: string, a: int, b: int>>, spots {spot}"))
+    with spare_tables():
+        edges = rows.select(F.explode("spots").alias("s")).groupBy("s.instance", "s.pattern").agg(F.count("*").alias("n"), F.count_if(F.col("s.kind") != "").alias("seeds"))
+        good = save(score_graph(edges).where(F.col("trust") >= TRUST).select("instance", "pattern"))
+        judged = rows.select("_d", "_r", F.explode(_new()).alias("s")).select("_d", "_r", "s.a", "s.b", "s.instance", "s.pattern").join(broadcast_if(good, BROADCAST_ROWS), ["instance", "pattern"], "left_semi")
+        return rows, outlive(judged.groupBy("_d", "_r").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("more")))
 
 
 def extract_pii(docs: DataFrame) -> DataFrame:
@@ -161,9 +161,13 @@ def mask(docs: DataFrame) -> DataFrame:
     _, more = _bootstrap(docs)
     named = more.select(F.col("_d").alias("__tarn_d"), F.col("_r").alias("__tarn_r"), F.array_join(F.transform("more", lambda s: F.concat_ws(":", F.lit("found"), s["a"], s["b"])), ",").alias("__tarn_more"))
 
-    @F.pandas_udf("string")
-    def masked(texts: pd.Series, extra: pd.Series) -> pd.Series:
-        return pd.Series([redact(t, base_spans(t), e or "") if isinstance(t, str) else None for t, e in zip(texts, extra)], dtype=object)
+    def redacted(batches):
+        for texts, extra in batches:
+            yield pa.array([redact(t, base_spans(t), e or "") if t is not None else None for t, e in zip(texts.to_pylist(), extra.to_pylist())], pa.string())
+
+    @F.arrow_udf("string")
+    def masked(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        return releasing(redacted)(batches)
 
     rows = with_keys(docs).join(broadcast_if(named, BROADCAST_ROWS), ["__tarn_d", "__tarn_r"], "left")
     rows = rows.withColumn("text", masked(F.col("text").cast("string"), F.col("__tarn_more")))

@@ -18,7 +18,7 @@ import string
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save, sha256_hex
+from .common import releasing, save, sha256_hex, spare_tables
 
 KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -131,9 +131,10 @@ def _labelled(batches):
 
 def train(docs: DataFrame) -> Ratio:
     """Fits both models on at most SAMPLE labelled strings of each class from docs (text)."""
-    rows = save(docs.select(F.col("text").cast("string")).mapInArrow(_labelled, "label int, s string").distinct())
-    pick = lambda k: [r["s"] for r in rows.where(F.col("label") == k).orderBy(F.xxhash64("s"), "s").limit(SAMPLE).collect()]
-    return Ratio(pick(1), pick(0))
+    with spare_tables():
+        rows = save(docs.select(F.col("text").cast("string")).mapInArrow(releasing(_labelled), "label int, s string").distinct())
+        pick = lambda k: [r["s"] for r in rows.where(F.col("label") == k).orderBy(F.xxhash64("s"), "s").limit(SAMPLE).collect()]
+        return Ratio(pick(1), pick(0))
 
 
 def all_spans(text: str, ratio: Ratio) -> tuple[list, list]:
@@ -171,4 +172,4 @@ def scan_secrets(docs: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs))
     schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(_scan(model), schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(releasing(_scan(model)), schema)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import load
-from .common import save
+from .common import bound_batches, releasing, save
 
 HEAD = 150_000
 FLUSH = 400_000
@@ -100,14 +100,15 @@ def _documents(path: str, head):
 def token_counts(docs: DataFrame, path: str, limit: int = 512) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_bytes, n_tokens, over_limit. path: a byte-level BPE file of the tokenizers library, readable on every executor."""
     spark = docs.sparkSession
+    bound_batches(spark)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = base.select("text").mapInArrow(_frequencies(path), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
-    pieces = save(seen.mapInArrow(_count_pieces(path), "piece string, n long, tokens long"))
+    seen = base.select("text").mapInArrow(releasing(_frequencies(path)), "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n"))
+    pieces = save(seen.mapInArrow(releasing(_count_pieces(path)), "piece string, n long, tokens long"))
     steps = [2**k for k in range(0, 63)]
     sizes = pieces.agg(*[F.count_if(F.col("n") >= s).alias(str(s)) for s in steps]).first()
     least = next(s for s in steps if sizes[str(s)] <= HEAD)
     head = spark.sparkContext.broadcast({r["piece"]: r["tokens"] for r in pieces.where(F.col("n") >= least).select("piece", "tokens").toLocalIterator()})
-    rows = save(base.mapInArrow(_documents(path, head), "row long, doc_id long, n_bytes long, head long, piece string, n long"))
+    rows = save(base.mapInArrow(releasing(_documents(path, head)), "row long, doc_id long, n_bytes long, head long, piece string, n long"))
     tail = rows.where("piece is not null").select("row", "piece", "n")
     sums = tail.join(pieces.where(F.col("n") < least).select("piece", "tokens"), "piece").groupBy("row").agg(F.sum(F.col("n") * F.col("tokens")).alias("tail"))
     whole = rows.where("piece is null").select("row", "doc_id", "n_bytes", "head").join(sums, "row", "left")
