@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, keyed, releasing, save, with_keys, without
+from .common import broadcast_if, keyed, outlive, releasing, releasing_group, save, spare_tables, with_keys, without
 from .components import components
 from .shingles import mix, set_id, shingle_sets
 
@@ -42,6 +42,8 @@ CENTRES = 8
 #: Members of a group that are opened as one block.
 OPEN = 64
 BROADCAST_ROWS = 100_000
+#: Classes that can be too large for a task, at most.
+HOT_CLASSES = 1_000
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
@@ -100,7 +102,7 @@ def _add_up(table):
 def _levels(spark: SparkSession, sketch: DataFrame):
     """Broadcasts a byte for each counter: 0 for shingles that are about as rare as most, else more for more common ones. Its size is fixed."""
     counts = np.zeros((1 << CHUNK_BITS, 1 << (SKETCH_BITS - CHUNK_BITS)), np.uint16)
-    for row in sketch.groupBy("piece").applyInArrow(_add_up, "piece int, blob binary").collect():  # 32 MB at most
+    for row in sketch.groupBy("piece").applyInArrow(releasing_group(_add_up), "piece int, blob binary").collect():  # 32 MB at most
         counts[row["piece"]] = np.frombuffer(zlib.decompress(row["blob"]), np.uint16)
     mean = float(counts.mean())
     usual = mean + 8 * mean**0.5 + 8
@@ -114,7 +116,7 @@ def _rare_first(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
 
 
 def _prefixes(levels, buckets: int):
-    """Per task and bucket one row: the prefix shingles (32 bits of them) and set names, packed."""
+    """Per task and bucket one row: the prefix shingles and set names, packed."""
 
     def deal(batches):
         import pyarrow as pa
@@ -130,9 +132,9 @@ def _prefixes(levels, buckets: int):
             names = np.repeat(np.array([x for x, _ in owners], np.int64), [k for _, k in owners])
             bucket = (tokens % np.uint64(buckets)).astype(np.int32)
             order = np.argsort(bucket, kind="stable")
-            bucket, short, names = bucket[order], (tokens[order] >> np.uint64(32)).astype(np.uint32), names[order]
+            bucket, tokens, names = bucket[order], tokens[order], names[order]
             cuts = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
-            rows = [(int(bucket[a]), short[a:b].tobytes(), names[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:])]
+            rows = [(int(bucket[a]), tokens[a:b].tobytes(), names[a:b].tobytes()) for a, b in zip(cuts[:-1], cuts[1:])]
             parts, owners, amount = [], [], 0
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["bucket", "tokens", "sids"])
 
@@ -155,15 +157,14 @@ def _shared(table):
     """Of a bucket: the shingles of two or more sets as (token, sid), and pairs (a, b) of sets with leaders of their runs."""
     import pyarrow as pa
 
-    tokens = np.concatenate([np.frombuffer(x, np.uint32) for x in table.column("tokens").to_pylist()])
+    tokens = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("tokens").to_pylist()])
     sids = np.concatenate([np.frombuffer(x, np.int64) for x in table.column("sids").to_pylist()])
-    bucket = table.column("bucket")[0].as_py()
     order = np.lexsort((sids, tokens))
     tokens, sids = tokens[order], sids[order]
     keep = np.ones(len(tokens), bool)
     keep[1:] = (tokens[1:] != tokens[:-1]) | (sids[1:] != sids[:-1])
     tokens, sids = tokens[keep], sids[keep]
-    cuts = np.append(np.flatnonzero(np.diff(tokens.astype(np.int64), prepend=-1)), len(tokens))
+    cuts = np.concatenate(([0], np.flatnonzero(tokens[1:] != tokens[:-1]) + 1, [len(tokens)]))
     pairs, used = set(), np.zeros(len(tokens), bool)
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
         if b - a < 2:
@@ -177,7 +178,7 @@ def _shared(table):
             for k in range(LEADERS):
                 lead = int(run[np.argmin(mix(run.view(np.uint64) + np.uint64(k)))])
                 pairs.update((min(lead, x), max(lead, x)) for x in run.tolist() if x != lead)
-    token = (np.uint64(bucket) << np.uint64(32) | tokens[used].astype(np.uint64)).astype(np.int64)
+    token = tokens[used].view(np.int64)
     a, b = (np.array([p[i] for p in pairs], np.int64) for i in (0, 1))
     m, k = len(token), len(pairs)
     return pa.table({"token": pa.chunked_array([pa.array(token), pa.nulls(k, pa.int64())]), "a": pa.chunked_array([pa.array(sids[used]), pa.array(a)]), "b": pa.chunked_array([pa.nulls(m, pa.int64()), pa.array(b)])})
@@ -276,7 +277,7 @@ class _Join:
         held = save(members.where("blocks > 1").withColumn("block", F.pmod(F.xxhash64("other"), F.col("blocks")).cast("int")).join(facts, "other").select("g", "block", "other", "n", "tokens"))
         asked = qualify.join(sizes.where("blocks > 1"), "g").join(facts.withColumnRenamed("other", "sid"), "sid")
         asked = save(asked.select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "sid", "n", "tokens"))
-        large = asked.groupBy("g", "block").cogroup(held.groupBy("g", "block")).applyInArrow(_open, "a long, b long")
+        large = asked.groupBy("g", "block").cogroup(held.groupBy("g", "block")).applyInArrow(releasing_group(_open), "a long, b long")
         return small.union(large)
 
 
@@ -307,6 +308,7 @@ def _pairs(qualify: DataFrame, members: DataFrame) -> DataFrame:
     return qualify.join(members, "g").select(F.least("sid", "other").alias("a"), F.greatest("sid", "other").alias("b"))
 
 
+@spare_tables()
 def _classes(docs: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, its name (_d, _r), n shingles, and its class c; null without shingles. A saved table."""
     spark = docs.sparkSession
@@ -317,7 +319,7 @@ def _classes(docs: DataFrame) -> DataFrame:
     total = sets.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, int(total // UNDER // BUCKET), int(spark.conf.get("spark.sql.shuffle.partitions")) if total > 10 * BUCKET else 1)
     dealt = base.select("text").mapInArrow(releasing(_prefixes(levels, buckets)), "bucket int, tokens binary, sids binary")
-    found = save(dealt.groupBy("bucket").applyInArrow(_shared, "token long, a long, b long"))
+    found = save(dealt.groupBy("bucket").applyInArrow(releasing_group(_shared), "token long, a long, b long"))
     shared = found.where("token is not null").select("token", F.col("a").alias("sid"))
     pairs = save(found.where("token is null").select("a", "b").distinct())
     join = _Join(base, sets, shared)
@@ -332,21 +334,30 @@ def _classes(docs: DataFrame) -> DataFrame:
         links = save(links.union(join.links(more)))
     roots = save(components(links))
     classes = sets.join(roots.select(F.col("node").alias("sid"), "root"), "sid", "left").select("doc_id", "_d", "_r", "n", F.when(F.col("n") > 0, F.coalesce("root", "sid")).alias("c"))
-    return save(classes)
+    return outlive(classes)
+
+
+def _of_classes(classes: DataFrame, facts: DataFrame) -> DataFrame:
+    """classes with the facts (c, rows and others, rows > 1) of their class, null where there are none. The largest classes, of more than a HOT_CLASSES-th of all rows and so HOT_CLASSES at most, are broadcast; in the join of the rest no class is large."""
+    most = classes.count() // HOT_CLASSES
+    facts = save(facts)
+    large = F.broadcast(facts.where(F.col("rows") > most))
+    rest = classes.join(large.select("c"), "c", "left_anti")
+    return classes.join(large, "c").unionByName(rest.join(facts.where(F.col("rows") <= most), "c", "left"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id (the smallest doc_id reachable by links, its own included)."""
     classes = _classes(docs)
-    lows = classes.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("low"), F.count("*").alias("rows")).where("rows > 1").select("c", "low")
-    return classes.join(lows, "c", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("low", "doc_id").alias("component_id"))
+    lows = classes.where("c is not null").groupBy("c").agg(F.min("doc_id").alias("low"), F.count("*").alias("rows")).where("rows > 1")
+    return _of_classes(classes, lows).select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("low", "doc_id").alias("component_id"))
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of each class, with all columns: that with the smallest doc_id, or where several have it, or none has an id, the smallest hash of its text. Rows equal in id and text are one document. Rows without shingles stay, and of those without an id all do."""
     classes = _classes(docs)
-    first = classes.where("c is not null").groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "_d", "_r")).alias("first"), F.count("*").alias("rows")).where("rows > 1").select("c", "first")
-    gone = classes.join(first, "c").where((F.col("_d") != F.col("first._d")) | (F.col("_r") != F.col("first._r"))).select("_d", "_r").distinct()
+    first = classes.where("c is not null").groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "_d", "_r")).alias("first"), F.count("*").alias("rows")).where("rows > 1")
+    gone = _of_classes(classes, first).where((F.col("_d") != F.col("first._d")) | (F.col("_r") != F.col("first._r"))).select("_d", "_r").distinct()
     rest = without(docs, save(gone), 2 * BROADCAST_ROWS)
     again = save(classes.where("c is not null or doc_id is not null").groupBy("_d", "_r").count().where("count > 1").select("_d", "_r"))
     if again.isEmpty():
