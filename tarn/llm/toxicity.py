@@ -4,24 +4,25 @@ The kernel compares two words by the subsequences of three characters that they
 every gap costs a factor DECAY. So a word with a character inserted or doubled stays near to itself. Landmarks are the words whose
 presence tells the labels apart best, and frequent words beside them. A text is described by its greatest kernel value with
 each landmark, over all its words; the description is whitened by the landmarks' own kernel matrix (Nyström), and a linear
-machine with a logistic link scores it.
+machine with a logistic link scores it. Words of one or two letters hold no subsequence of three; letters beyond a-z share 37 codes.
 
-The machine is fitted on at most SAMPLE labelled rows; every whole text is scored. Single characters that stand apart in a row are read as one word.
+The machine is fitted on at most SAMPLE labelled rows; every whole text is scored. Letters that stand apart in a row are read as one word, and so is each part of such a row.
 
 Defined results: a null or empty text has no words and gets the score of a text without any landmark; if the labelled rows
-lack either class, all scores are 0; labels that are null, or not 0 or 1, are left out; repeated rows and null ids give a row each.
+lack either class, all scores are 0; labels that are null, or not 0 or 1, are left out; repeated rows and null ids give a row each; an empty table gives no rows; other columns, whatever their names, are not read, and keep_clean() passes them on.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import releasing, save, spare_tables
 
 SAMPLE = 20_000
 TOXIC_LANDMARKS, OTHER_LANDMARKS = 96, 32
@@ -30,15 +31,21 @@ DECAY, SPAN, LONG = 0.75, 5, 40
 FLOOR = 0.5
 _GAPS = [(i, j) for i in range(1, SPAN - 1) for j in range(i + 1, SPAN)]
 _STRIP = re.compile(r"[\W_]+")
-_APART = re.compile(r"(?<!\S)\w(?:[^\S\n]\w){3,}(?!\S)")
+#: Three letters or more that stand apart, with white space or punctuation between them.
+_APART = re.compile(r"(?<![^\W_])[^\W_](?:[\W_]+[^\W_](?![^\W_])){2,}")
+#: Letters of a word that may be spelled with its letters apart, next to others, at most; a run of letters that is a word as a whole may be longer.
+SPELLED = 12
 
 
-def words_of(text) -> set[str]:
-    """Distinct words in lower case without punctuation, in pieces of LONG characters where they are longer."""
+def words_of(text, windows: bool = True) -> set[str]:
+    """Distinct words in lower case without punctuation, in pieces of LONG characters where they are longer. Letters that stand apart are a word together, and with windows also each 3 to SPELLED of them in a row."""
     low = text.lower() if isinstance(text, str) else ""
     whole = set(low.split())
-    if sum(len(w) == 1 for w in whole) >= 3:
-        whole.update(re.sub(r"\s", "", m[0]) for m in _APART.finditer(low))
+    for m in _APART.finditer(low):
+        run = _STRIP.sub("", m[0])
+        whole.add(run)
+        if windows:
+            whole.update(run[a : a + n] for n in range(3, min(SPELLED, len(run)) + 1) for a in range(len(run) - n + 1))
     out = set()
     for w in whole:
         if not w.isalpha():
@@ -92,8 +99,8 @@ class Landmarks:
         """A row of kernel values per word; rows are 0 where no landmark can reach FLOOR."""
         out = np.zeros((len(words), len(self.words)), np.float32)
         order = sorted(range(len(words)), key=lambda i: len(words[i]))
-        for start in range(0, len(order), 8192):
-            at = order[start : start + 8192]
+        for start in range(0, len(order), 4096):
+            at = order[start : start + 4096]
             codes = _codes([words[i] for i in at])
             # the norm counts each occurrence of a subsequence; a word's share of subsequences that any landmark has bounds its values
             norm, share = np.zeros(len(at)), np.zeros(len(at))
@@ -125,8 +132,8 @@ class Landmarks:
             return out
         values = []
         live: dict[str, int] = {}
-        for start in range(0, len(every), 65536):
-            part = every[start : start + 65536]
+        for start in range(0, len(every), 8192):
+            part = every[start : start + 8192]
             v = self.values(part)
             rows = np.flatnonzero(v.any(axis=1))
             live.update((part[i], len(values) + k) for k, i in enumerate(rows.tolist()))
@@ -190,21 +197,18 @@ def _link(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def _word_counts(batches):
-    import pyarrow as pa
     from collections import Counter
 
     for batch in batches:
         seen = (Counter(), Counter())
         for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            seen[toxic].update(words_of(text))
+            seen[toxic].update(words_of(text, windows=False))
         words = sorted(set(seen[0]) | set(seen[1]))
         yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([c[w] for w in words], pa.int64()) for c in seen)], names=["word", "clean", "toxic"])
 
 
 def _describe(landmarks):
     def run(batches):
-        import pyarrow as pa
-
         for batch in batches:
             for start in range(0, len(batch), 2000):
                 part = batch.slice(start, 2000)
@@ -224,7 +228,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     totals = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if len(totals) < 2:
         return None
-    counts = save(rows.mapInArrow(_word_counts, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where(F.col("clean") + F.col("toxic") >= 3))
+    counts = save(rows.mapInArrow(releasing(_word_counts), "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).where(F.col("clean") + F.col("toxic") >= 3))
     expect = (F.col("clean") + F.col("toxic")) * totals[1] / (totals[0] + totals[1])
     worth = F.when(F.col("toxic") > 2 * expect, F.col("toxic") * F.log(F.col("toxic") / expect)).otherwise(0.0)
     telling = [r["word"] for r in counts.where(worth > 0).orderBy(F.desc(worth), "word").limit(TOXIC_LANDMARKS).collect()]
@@ -233,27 +237,33 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
         return None
     landmarks = Landmarks(telling + [w for w in plain if w not in telling])
     shared = spark.sparkContext.broadcast(landmarks)
-    fitted = rows.mapInArrow(_describe(shared), "x array<float>, toxic int").collect()
+    fitted = rows.mapInArrow(releasing(_describe(shared)), "x array<float>, toxic int").collect()
     return Model(landmarks, np.array([r["x"] for r in fitted], np.float64), np.array([r["toxic"] for r in fitted], np.float64))
 
 
 def _scorer(model):
     """A column function from texts to scores."""
 
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
+    def scores(batches):
         m: Model | None = model.value
-        out = [np.zeros(0)]
-        for start in range(0, len(texts), 2000):
-            part = texts.iloc[start : start + 2000]
-            out.append(m.score(m.landmarks.describe([words_of(t) for t in part])) if m else np.zeros(len(part)))
-        return pd.Series(np.concatenate(out))
+        for texts in batches:
+            out = [np.zeros(0)]
+            texts = texts.to_pylist()
+            for start in range(0, len(texts), 2000):
+                part = texts[start : start + 2000]
+                out.append(m.score(m.landmarks.describe([words_of(t) for t in part])) if m else np.zeros(len(part)))
+            yield pa.array(np.concatenate(out), pa.float64())
+
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return releasing(scores)(batches)
 
     return score
 
 
 def _fit(docs: DataFrame, labels: DataFrame, folds: int):
-    model = train(docs, labels.where(~_held(F.col("doc_id"), folds)))
+    with spare_tables():
+        model = train(docs, labels.where(~_held(F.col("doc_id"), folds)))
     return _scorer(docs.sparkSession.sparkContext.broadcast(model))
 
 

@@ -146,6 +146,8 @@ def test_kernel_tolerates_inserted_characters():
     v = marks.values(["idiot", "idxiot", "iddiot", "table"])
     assert v[0, 0] > 0.99 and v[1, 0] > toxicity.FLOOR and v[2, 0] > toxicity.FLOOR and not v[3].any()
     assert toxicity.words_of("you i d i o t!") >= {"idiot"} and "idiot" in toxicity.words_of("I.D.I-O.T")
+    assert "idiot" in toxicity.words_of("u r i d i o t") and "idiot" in toxicity.words_of("(i)  d\ni *o_ t...") and "ass" in toxicity.words_of("a s s")
+    assert toxicity.words_of("u r i d i o t", windows=False) == {"uridiot"} and toxicity.words_of("it is a b") == set()
 
 
 def test_toxicity_scores(spark, odd):
