@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tarn.llm import decontaminate, near_duplicates, packing, pii, toxicity
-from tarn.llm.common import read, save
+from tarn.llm.common import outlive, read, spare_tables
 from tarn.llm.queries import bpe_path
 
 
@@ -50,8 +50,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = save(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        with spare_tables():
+            docs = outlive(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
