@@ -106,7 +106,10 @@ def _levels(spark: SparkSession, sketch: DataFrame):
         counts[row["piece"]] = np.frombuffer(zlib.decompress(row["blob"]), np.uint16)
     mean = float(counts.mean())
     usual = mean + 8 * mean**0.5 + 8
-    levels = np.where(counts > usual, np.floor(np.log2(np.maximum(counts, 1) / usual) * 2) + 1, 0).astype(np.uint8)
+    # by way of a level for each value, so that the driver needs no more than the counts and a byte for each
+    values = np.arange(1 << 16)
+    level = np.where(values > usual, np.floor(np.log2(np.maximum(values, 1) / usual) * 2) + 1, 0).astype(np.uint8)
+    levels = level[counts]
     return spark.sparkContext.broadcast(zlib.compress(levels.tobytes(), 1))
 
 
