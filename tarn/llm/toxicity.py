@@ -237,8 +237,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
         return None
     landmarks = Landmarks(telling + [w for w in plain if w not in telling])
     shared = spark.sparkContext.broadcast(landmarks)
-    fitted = rows.mapInArrow(releasing(_describe(shared)), "x array<float>, toxic int").collect()
-    return Model(landmarks, np.array([r["x"] for r in fitted], np.float64), np.array([r["toxic"] for r in fitted], np.float64))
+    fitted = rows.mapInArrow(releasing(_describe(shared)), "x array<float>, toxic int").toArrow().combine_chunks()
+    x = fitted.column("x").combine_chunks().flatten().to_numpy().reshape(len(fitted), -1)
+    return Model(landmarks, x.astype(np.float64), fitted.column("toxic").to_numpy().astype(np.float64))
 
 
 def _scorer(model):
