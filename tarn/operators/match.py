@@ -10,8 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.collate import RANKS, kind, rank, sort_key, sort_key_of
-from ..functions.paths import SelectorError
+from ..functions.collate import RANKS, kind, rank
 from ..plans.selector import Complement, Every, Group, Test, parse_selector
 
 #: A condition is a column, or a bool known when the selector is compiled.
@@ -51,13 +50,17 @@ def as_column(p: Cond) -> Column:
 class Typed:
     """A value with a static type. With nulls="missing" SQL NULL is an absent path, as to_json reads it; with "null" it is a JSON null."""
 
-    def __init__(self, col: Column | None, dtype: T.DataType, nulls: str, exists: Cond | None = None, fields: DataFrame | None = None, in_lambda: bool = False):
-        self.col, self.dtype, self.nulls, self.fields, self.in_lambda = col, dtype, nulls, fields, in_lambda
+    def __init__(self, col: Column | None, dtype: T.DataType, nulls: str, exists: Cond | None = None, within: str | None = None):
+        """within: what NULL is in the fields of the value, if not what it is for the value itself; a NULL element of an array is always a JSON null."""
+        self.col, self.dtype, self.nulls, self.within = col, dtype, nulls, within or nulls
         self.exists: Cond = exists if exists is not None else (col.isNotNull() if nulls == "missing" else True)
         self.known = kind_of(dtype)
 
     def _child(self, col: Column, dtype: T.DataType, there: Cond) -> Typed:
-        return Typed(col, dtype, self.nulls, None if self.nulls == "missing" else there, in_lambda=self.in_lambda)
+        return Typed(col, dtype, self.within, None if self.within == "missing" else there)
+
+    def _element(self, col: Column) -> Typed:
+        return Typed(col, self.dtype.elementType, "null", within=self.within)
 
     def get(self, path: tuple[str, ...]) -> Typed | None:
         now: Typed | None = self
@@ -101,26 +104,26 @@ class Typed:
         if self.known in ("number", "string"):
             return self._null_case(null, test(self._plain(), _literal(v, self.dtype)))
         if self.known == "array" and op in ("eq", "ne"):
-            e = self.dtype.elementType
-            same = both(F.size(self.col) == len(v), *[Typed(F.get(self.col, F.lit(i)), e, "null", in_lambda=self.in_lambda).compare("eq", x) for i, x in enumerate(v)])
+            same = both(F.size(self.col) == len(v), *[self._element(F.get(self.col, F.lit(i))).compare("eq", x) for i, x in enumerate(v)])
             return self._null_case(null, same if op == "eq" else both(self.exists, fails(same)))
-        if self.in_lambda:
-            raise SelectorError("arrays and objects can't be ordered inside element conditions")
-        return self._null_case(null, test(sort_key_of(F.to_json(self.whole())), F.lit(sort_key(v))))
+        return self._null_case(null, self._json().compare(op, v))
+
+    def _json(self) -> Variant:
+        """The value as JSON gives it: an array or an object."""
+        return Variant(F.parse_json(F.to_json(self.whole())))
 
     def elements(self, f: Callable[[Typed], Cond], every: bool) -> Cond:
         if not isinstance(self.dtype, T.ArrayType):
             return False
-        e, nulls = self.dtype.elementType, "null"
-        inner = lambda x: F.coalesce(as_column(f(Typed(x, e, nulls, in_lambda=True))), F.lit(False))
+        inner = lambda x: F.coalesce(as_column(f(self._element(x))), F.lit(False))
         return both(F.size(self.col) > 0, F.forall(self.col, inner)) if every else F.exists(self.col, inner)
 
     def keys(self, f: Callable[[Typed], Cond]) -> Cond:
         if isinstance(self.dtype, T.MapType):
-            return F.exists(F.map_keys(self.col), lambda k: F.coalesce(as_column(f(Typed(k, T.StringType(), "null", in_lambda=True))), F.lit(False)))
+            return F.exists(F.map_keys(self.col), lambda k: F.coalesce(as_column(f(Typed(k, T.StringType(), "null"))), F.lit(False)))
         if isinstance(self.dtype, T.StructType):
             there = lambda n: True if self.nulls == "null" else F.col(_quote(n)).isNotNull() if self.col is None else self.col.getField(n).isNotNull()
-            return both(self.exists, either(*[both(there(n), f(Typed(F.lit(n), T.StringType(), "null", in_lambda=self.in_lambda))) for n in self.dtype.names]))
+            return both(self.exists, either(*[both(there(n), f(Typed(F.lit(n), T.StringType(), "null"))) for n in self.dtype.names]))
         return False
 
     def is_kind(self, name: str) -> Cond:
@@ -144,18 +147,19 @@ class Typed:
         e = self.dtype.elementType
         if kind(v) == "number" and kind_of(e) == "number" and isinstance(e, T.IntegralType) != isinstance(v, int):
             return False
+        if kind(v) in ("array", "object"):
+            return self.elements(lambda x: x._json().strictly(v), False) if kind_of(e) == kind(v) else False
         return self.elements(lambda x: x.compare("eq", v), False)
 
     def strictly(self, v: list) -> Cond:
-        mixed = any(kind(x) == "number" and kind_of(self.dtype.elementType) == "number" and isinstance(self.dtype.elementType, T.IntegralType) != isinstance(x, int) for x in v)
-        return False if mixed else self.compare("eq", v)
+        return self._json().strictly(v)
 
 
 class Variant:
     """A value of type VARIANT; its kind is known at run time only, and JSON null differs from an absent path."""
 
-    def __init__(self, col: Column, in_lambda: bool = False):
-        self.col, self.in_lambda = col, in_lambda
+    def __init__(self, col: Column):
+        self.col = col
         self.exists: Cond = col.isNotNull()
         self.schema = F.schema_of_variant(col)
 
@@ -164,7 +168,7 @@ class Variant:
         for s in path:
             key = F.try_variant_get(col, "$[" + json.dumps(s, ensure_ascii=False) + "]", "variant")
             col = F.coalesce(F.try_variant_get(col, f"$[{int(s)}]", "variant"), key) if s.isascii() and s.isdigit() and int(s) < 2**31 else key
-        return Variant(col, self.in_lambda) if path else self
+        return Variant(col) if path else self
 
     def _as(self, t: str) -> Column:
         return F.try_variant_get(self.col, "$", t)
@@ -184,31 +188,44 @@ class Variant:
         return ranked
 
     def compare(self, op: str, v: object) -> Cond:
-        test, k = _ORDER[op], kind(v)
-        apart = test(self._rank(), F.lit(rank(v)))
+        return both(self.exists, _ORDER[op](self.order(v), 0))
+
+    def order(self, v: object) -> Column:
+        """-1, 0 or 1 as the value comes before, with or after v in collation; arrays by their elements, objects by their sorted keys and values, then by size."""
+        k, apart = kind(v), F.when(self._rank() < rank(v), -1).otherwise(1)
         if k in ("null", "boolean"):
-            return both(self.exists, apart)
+            return F.when(self._rank() == rank(v), 0).otherwise(apart)
         if k == "number":
             exact = isinstance(v, int) and abs(v) > 2**53
-            same = test(self._as("decimal(38,10)" if exact else "double"), F.lit(v).cast("decimal(38,10)") if exact else F.lit(float(v)))
+            same = _sign(self._as("decimal(38,10)" if exact else "double"), F.lit(v).cast("decimal(38,10)") if exact else F.lit(float(v)))
         elif k == "string":
-            same = test(self._as("string"), F.lit(v))
-        elif self.in_lambda:
-            raise SelectorError("arrays and objects can't be compared inside element conditions of VARIANT documents")
+            same = _sign(self._as("string"), F.lit(v))
+        elif k == "array":
+            parts = self._elements()
+            same = _sign(F.size(parts), F.lit(len(v)))
+            for i, x in reversed(list(enumerate(v))):
+                same = F.when(F.size(parts) <= i, -1).otherwise(_first(Variant(F.get(parts, F.lit(i))).order(x), same))
         else:
-            same = test(sort_key_of(F.to_json(self.col)), F.lit(sort_key(_sorted(v))))
-        return both(self.exists, F.when(self._kind(k), same).otherwise(apart))
+            names = F.array_sort(F.map_keys(self._fields()))
+            same = _sign(F.size(names), F.lit(len(v)))
+            for i, (name, x) in reversed(list(enumerate(sorted(v.items())))):
+                value = Variant(F.try_element_at(self._fields(), F.lit(name))).order(x)
+                same = F.when(F.size(names) <= i, -1).otherwise(_first(_sign(F.get(names, F.lit(i)), F.lit(name)), _first(value, same)))
+        return F.when(self._kind(k), same).otherwise(apart)
+
+    def _fields(self) -> Column:
+        return F.when(self._kind("object"), self._as("map<string,variant>"))
 
     def _elements(self) -> Column:
         return F.when(self._kind("array"), self._as("array<variant>"))
 
     def elements(self, f: Callable[[Variant], Cond], every: bool) -> Cond:
-        inner = lambda x: F.coalesce(as_column(f(Variant(x, True))), F.lit(False))
+        inner = lambda x: F.coalesce(as_column(f(Variant(x))), F.lit(False))
         return both(F.size(self._elements()) > 0, F.forall(self._elements(), inner)) if every else F.exists(self._elements(), inner)
 
     def keys(self, f: Callable[[Typed], Cond]) -> Cond:
-        names = F.map_keys(F.when(self._kind("object"), self._as("map<string,variant>")))
-        return F.exists(names, lambda k: F.coalesce(as_column(f(Typed(k, T.StringType(), "null", in_lambda=True))), F.lit(False)))
+        names = F.map_keys(self._fields())
+        return F.exists(names, lambda k: F.coalesce(as_column(f(Typed(k, T.StringType(), "null"))), F.lit(False)))
 
     def is_kind(self, name: str) -> Cond:
         return both(self.exists, self._kind(name)) if name in RANKS else False
@@ -228,19 +245,20 @@ class Variant:
     def contains(self, v: object) -> Cond:
         strict = lambda x: both(x.schema.rlike("^(BIGINT|INT|SMALLINT|TINYINT)") if isinstance(v, int) else ~x.schema.rlike("^(BIGINT|INT|SMALLINT|TINYINT)")) if kind(v) == "number" else True
         if kind(v) in ("array", "object"):
-            return F.exists(self._elements(), lambda x: F.to_json(x) == F.lit(_dense(v)))
+            return self.elements(lambda x: x.strictly(v), False)
         return self.elements(lambda x: both(strict(x), x.compare("eq", v)), False)
 
-    def strictly(self, v: list) -> Cond:
-        return F.when(self._kind("array"), F.to_json(self.col) == F.lit(_dense(v)))
+    def strictly(self, v: list | dict) -> Cond:
+        return F.when(self._kind(kind(v)), F.to_json(self.col) == F.to_json(F.parse_json(F.lit(json.dumps(v)))))
 
 
-def _sorted(v: object) -> object:
-    return {k: _sorted(v[k]) for k in sorted(v)} if isinstance(v, dict) else [_sorted(x) for x in v] if isinstance(v, list) else v
+def _sign(a: Column, b: Column) -> Column:
+    return F.when(a < b, -1).when(a > b, 1).otherwise(0)
 
 
-def _dense(v: object) -> str:
-    return json.dumps(_sorted(v), separators=(",", ":"), ensure_ascii=False)
+def _first(a: Column, b: Column) -> Column:
+    """The first of two orders that isn't 0."""
+    return F.when(a != 0, a).otherwise(b)
 
 
 def _quote(name: str) -> str:
@@ -272,7 +290,7 @@ def _test(value, op: str, arg) -> Cond:
         return value.compare(op, arg)
     if op in ("in", "nin"):
         scalar = either(*[value.compare("eq", a) for a in arg]) if arg else False
-        among = value.elements(lambda x: either(*[x.compare("eq", a) for a in arg if kind(a) not in ("array", "object") or not x.in_lambda]), False) if arg else False
+        among = value.elements(lambda x: either(*[x.compare("eq", a) for a in arg]), False) if arg else False
         array = value.is_array()
         hit = among if array is True else scalar if array is False else F.when(array, as_column(among)).otherwise(as_column(scalar))
         return hit if op == "in" else both(value.exists, fails(hit))
