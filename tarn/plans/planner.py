@@ -1,4 +1,4 @@
-"""Which index suits a query. Spark reads the same rows either way; the choice serves explain, use_index, and materialized indexes."""
+"""Which index suits a query. Without a materialized one Spark scans; the choice then serves explain and use_index."""
 
 from __future__ import annotations
 
@@ -11,6 +11,10 @@ from ..functions.paths import SelectorError, parse_field
 from .selector import Every, Group, Test
 
 
+#: After each string that a prefix starts, in practice.
+LAST = "\U0010ffff\U0010ffff"
+
+
 @dataclass(frozen=True)
 class IndexDef:
     """An index on fields in order, over the documents that meet partial. kind "spatial": fields are west, south, east and north."""
@@ -130,7 +134,7 @@ def ranges(node) -> dict[tuple[str, ...], Range]:
         elif isinstance(n, Test) and not n.negated and n.op == "beginsWith":
             r = out.setdefault(n.path, Range())
             r.narrow("gte", n.arg)
-            r.narrow("lt", n.arg + "\U0010ffff\U0010ffff")
+            r.narrow("lt", n.arg + LAST)
     return out
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -52,6 +54,18 @@ class Collection:
         return df if end is None else df.where(F.col(self.id) <= end)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which driver and executors share; a temporary folder stands in for it only where all runs on one machine."""
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="tarn-"))
+        folder = sc.getCheckpointDir()
+    return folder.rstrip("/")
+
+
 def read_ndjson(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents, local documents, rejects) of a file of JSON lines. Documents: _id, _rev, _deleted, revisions (start, ids), body VARIANT; the lines that are no JSON objects with a text _id are rejects (value)."""
     lines = spark.read.text(path).where(F.trim("value") != "").withColumn("body", F.try_parse_json("value"))
