@@ -27,19 +27,22 @@ def _order() -> Column:
 
 
 def winners(leaves: DataFrame) -> DataFrame:
-    """The winning leaf of each id: live before deleted, then the longest history, then the greatest revision id. Aggregated before the shuffle, so an id with many leaves isn't gathered; seq becomes the id's greatest."""
-    whole = F.struct(*[F.col(c) for c in leaves.columns])
-    best = leaves.groupBy("id").agg(F.max_by(whole, _order()).alias("w"), F.max("seq").alias("_seq"))
-    return best.select(*[(F.col("_seq") if c == "seq" else F.col("w")[c]).alias(c) for c in leaves.columns])
+    """The winning leaf of each id: live before deleted, then the longest history, then the greatest revision id. Aggregated before the shuffle, so an id with many leaves isn't gathered; seq becomes the id's greatest. A condition on the id reaches the scan; who needs no bodies leaves them out before."""
+    rest = [c for c in leaves.columns if c not in ("id", "seq")]
+    best = leaves.groupBy("id").agg(F.max_by(F.struct(*rest), _order()).alias("w"), *([F.max("seq").alias("seq")] if "seq" in leaves.columns else []))
+    return best.select(*[(F.col("w")[c] if c in rest else F.col(c)).alias(c) for c in leaves.columns])
 
 
 def conflicts(leaves: DataFrame) -> DataFrame:
     """(id, _rev, _conflicts, _deleted_conflicts): the winner, and the other live and deleted leaves, greatest first."""
-    won = leaves.groupBy("id").agg(F.max(_order()).alias("w"))
-    rest = leaves.select("id", _order().alias("o")).groupBy("id").agg(F.sort_array(F.collect_list("o"), asc=False).alias("all"))
-    both = won.join(rest, "id")
-    other = lambda live: F.transform(F.filter("all", lambda o: (o["live"] == live) & (o != F.col("w"))), lambda o: rev_text(o["pos"], o["rev"]))
-    return both.select("id", rev_text(F.col("w.pos"), F.col("w.rev")).alias("_rev"), other(True).alias("_conflicts"), other(False).alias("_deleted_conflicts"))
+    every = leaves.select("id", _order().alias("o")).groupBy("id").agg(F.sort_array(F.collect_list("o"), asc=False).alias("all"))
+    other = lambda live: F.transform(F.filter("all", lambda o, i: (i > 0) & (o["live"] == live)), lambda o: rev_text(o["pos"], o["rev"]))
+    return every.select("id", rev_text(F.col("all")[0]["pos"], F.col("all")[0]["rev"]).alias("_rev"), other(True).alias("_conflicts"), other(False).alias("_deleted_conflicts"))
+
+
+def bare(leaves: DataFrame) -> DataFrame:
+    """leaves without bodies: what an election needs."""
+    return leaves.select(*[c for c in ("id", "pos", "path", "deleted", "seq") if c in leaves.columns])
 
 
 def all_revs(leaves: DataFrame) -> DataFrame:
@@ -72,6 +75,7 @@ def bulk_get(leaves: DataFrame, asked: DataFrame, latest: bool = False) -> DataF
     has_body = "body" in leaves.columns
     body = F.col("body") if has_body else F.lit(None).cast("string")
     a = asked.select("n", "id", "rev", parse_rev(F.col("rev")).alias("p"))
+    leaves = leaves.join(asked.select("id").distinct(), "id", "left_semi")
     won = winners(leaves).where(~F.col("deleted")).select("id", rev_text(F.col("pos"), leaf_rev()).alias("found"), "deleted", body.alias("body"))
     plain = a.where("rev is null").join(won, "id", "left")
     rows = a.where("rev is not null").join(leaves.select("id", "pos", "path", "deleted", body.alias("body")), "id", "left")
@@ -87,7 +91,7 @@ def bulk_get(leaves: DataFrame, asked: DataFrame, latest: bool = False) -> DataF
 
 def all_docs(leaves: DataFrame, start: str | None = None, end: str | None = None, key: str | None = None, descending: bool = False, inclusive_end: bool = True, skip: int = 0, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows (id, rev), total): live documents in a range of ids, and the one-row count of all live ones. Descending goes from start down to end."""
-    live = winners(leaves).where(~F.col("deleted")).select("id", rev_text(F.col("pos"), leaf_rev()).alias("rev"))
+    live = winners(bare(leaves)).where(~F.col("deleted")).select("id", rev_text(F.col("pos"), leaf_rev()).alias("rev"))
     total, rows = live.agg(F.count("*").alias("total_rows")), live
     if key is not None:
         rows = rows.where(F.col("id") == key)
@@ -104,7 +108,7 @@ def all_docs(leaves: DataFrame, start: str | None = None, end: str | None = None
 
 def all_docs_keys(leaves: DataFrame, keys: DataFrame) -> DataFrame:
     """A row for each row of keys (n, id), in their order: id, rev, deleted, error. Tombstones are told, unknown ids are not_found."""
-    won = winners(leaves).select("id", rev_text(F.col("pos"), leaf_rev()).alias("rev"), "deleted")
+    won = winners(bare(leaves.join(keys.select("id").distinct(), "id", "left_semi"))).select("id", rev_text(F.col("pos"), leaf_rev()).alias("rev"), "deleted")
     return keys.join(won, "id", "left").select("n", "id", "rev", "deleted", F.when(F.col("rev").isNull(), "not_found").alias("error")).orderBy("n")
 
 
@@ -113,7 +117,7 @@ def stem(leaves: DataFrame, limit: int = REVS_LIMIT) -> DataFrame:
 
 
 def merge(leaves: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Leaves after a merge of incoming leaves of the same columns. A path that holds another's leaf replaces it; a stemmed path takes on the ancestors of a known path where they meet; of equal leaves the known one stays. Commutative up to that."""
+    """Leaves after a merge of incoming leaves of the same columns, all of them; merge_revs gives it only the ids it needs. A path that holds another's leaf replaces it; a stemmed path takes on the ancestors of a known path where they meet; of equal leaves the known one stays. Commutative up to that."""
     marked = leaves.withColumn("_new", F.lit(0)).unionByName(incoming.withColumn("_new", F.lit(1)), allowMissingColumns=True)
     one = marked.groupBy("id", "pos", leaf_rev().alias("_leaf")).agg(F.min_by(F.struct(*[F.col(c) for c in leaves.columns]), F.struct("_new", -F.size("path"))).alias("w"), F.max_by("path", F.size("path")).alias("_long"))
     one = one.select("id", "pos", "_leaf", *[F.col("w")[c].alias(c) for c in leaves.columns if c not in ("id", "pos", "path")], F.col("_long").alias("path"))
@@ -157,7 +161,7 @@ def hashed(key: str = "id", buckets: int = 4096) -> Column:
 
 def db_info(leaves: DataFrame) -> DataFrame:
     """One row: doc_count, doc_del_count, update_seq, leaf_count, and active_size if leaves have size."""
-    w = winners(leaves).agg(F.count_if(~F.col("deleted")).alias("doc_count"), F.count_if("deleted").alias("doc_del_count"), F.coalesce(F.max("seq"), F.lit(0)).alias("update_seq"))
+    w = winners(bare(leaves)).agg(F.count_if(~F.col("deleted")).alias("doc_count"), F.count_if("deleted").alias("doc_del_count"), F.coalesce(F.max("seq"), F.lit(0)).alias("update_seq"))
     more = [F.count("*").alias("leaf_count")] + ([F.coalesce(F.sum("size"), F.lit(0)).alias("active_size")] if "size" in leaves.columns else [])
     return w.crossJoin(F.broadcast(leaves.agg(*more)))
 

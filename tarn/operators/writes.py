@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .revisions import hashed, leaf_rev, merge, numbered, parse_rev, stem, winners
+from .revisions import bare, hashed, leaf_rev, merge, numbered, parse_rev, stem, winners
 
 
 def save(leaves: DataFrame, docs: DataFrame, next_seq: int, validator: Callable[[Column, Column], Column] | None = None) -> tuple[DataFrame, DataFrame]:
@@ -17,9 +17,10 @@ def save(leaves: DataFrame, docs: DataFrame, next_seq: int, validator: Callable[
     No rev on a live document, or a rev that is no leaf, is a conflict; no rev on a tombstone makes its child; ids that start with _ but not _design/ are refused. validator(new body, old body) gives a reason to reject.
     """
     asked = docs.select("id", "rev", "deleted", F.col("body").alias("new"), parse_rev(F.col("rev")).alias("p"))
-    won = winners(leaves).select("id", F.col("pos").alias("wpos"), F.col("path").alias("wpath"), F.col("deleted").alias("wdel"))
+    near = leaves.join(docs.select("id").distinct(), "id", "left_semi")
+    won = winners(bare(near)).select("id", F.col("pos").alias("wpos"), F.col("path").alias("wpath"), F.col("deleted").alias("wdel"))
     rows = asked.join(won, "id", "left")
-    at = leaves.select("id", F.col("pos").alias("lpos"), F.col("path").alias("lpath"), F.col("deleted").alias("ldel"), F.col("body").alias("old"))
+    at = near.select("id", F.col("pos").alias("lpos"), F.col("path").alias("lpath"), F.col("deleted").alias("ldel"), F.col("body").alias("old"))
     # the parent: the leaf that rev names, or the winning tombstone where there is no rev
     want = F.when(F.col("rev").isNotNull(), F.struct(F.col("p.pos").alias("pos"), F.col("p.rev").alias("rev"))).when(F.col("wdel"), F.struct(F.col("wpos").alias("pos"), F.col("wpath")[0].alias("rev")))
     rows = rows.withColumn("want", want).alias("r")
@@ -47,14 +48,19 @@ def merge_revs(leaves: DataFrame, incoming: DataFrame, next_seq: int) -> tuple[D
     bad = F.size("path") > F.col("pos")
     errors = incoming.where(bad).select("id", F.concat_ws("-", F.col("pos").cast("string"), leaf_rev()).alias("rev"), F.lit("bad_request").alias("error"))
     new = incoming.where(~bad)
-    after = merge(leaves, new)
-    named = lambda df: df.select("id", "pos", "path")
-    changed = named(after).join(named(leaves), ["id", "pos", "path"], "left_anti").select("id").union(named(leaves).join(named(after), ["id", "pos", "path"], "left_anti").select("id")).distinct()
+    # only the ids that come in are merged; all others stay as they are
+    touched = new.select("id").distinct()
+    before = leaves.join(touched, "id", "left_semi")
+    after = merge(before, new)
+    # a leaf that goes is inside a new one, so an id changes if it has a leaf that it hadn't, or of which less was known
+    old = before.select("id", "pos", leaf_rev().alias("_leaf"), F.size("path").alias("_known"))
+    marked = after.withColumn("_leaf", leaf_rev()).join(old, ["id", "pos", "_leaf"], "left")
+    changed = marked.where(F.col("_known").isNull() | (F.col("_known") < F.size("path"))).select("id").distinct()
     order = changed.join(new.groupBy("id").agg(F.min("seq").alias("_first")), "id")
     # in blocks of the incoming seq, so that the order holds and no task numbers all ids
     fresh = numbered(order, F.floor(F.col("_first") / 65536), [F.col("_first"), F.col("id")], next_seq, "_seq").select("id", "_seq")
     out = after.join(fresh, "id", "left").withColumn("seq", F.coalesce("_seq", "seq").cast("long")).select(*leaves.columns)
-    return stem(out), errors
+    return stem(out).unionByName(leaves.join(touched, "id", "left_anti")), errors
 
 
 def save_local(local: DataFrame, docs: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.jsfilter import js_filter
 from ..functions.paths import SelectorError
 from ..operators.match import condition
-from ..operators.revisions import leaf_rev, rev_text, winners
+from ..operators.revisions import bare, leaf_rev, rev_text, winners
 
 
 def parse_since(since: object, last: int) -> int:
@@ -35,14 +35,16 @@ class Feed:
 
 def changes(leaves: DataFrame, since: object = 0, limit: int | None = None, style: str = "main_only", doc_ids: list[str] | None = None, selector: dict | None = None, body: str = "body", include_docs: bool = False, descending: bool = False, js: str | None = None, query: dict | None = None) -> DataFrame:
     """Rows (seq, id, changes, deleted, and doc if asked) after since, in order. A selector sees the winner as a document, tombstones too. limit is 1 at least."""
-    won = winners(leaves)
     start = parse_since(since, 0) if since != "now" else None
     if start is None:
         start = leaves.agg(F.max("seq")).first()[0] or 0
-    # only ids with a leaf after since can have changed; the filter on leaves reaches the scan
-    rows = won.where(F.col("seq") > start)
     if doc_ids is not None:
-        rows = rows.where(F.col("id").isin(doc_ids)) if len(doc_ids) <= 1000 else rows.join(rows.sparkSession.createDataFrame([(i,) for i in set(doc_ids)], "id string"), "id", "left_semi")
+        leaves = leaves.where(F.col("id").isin(doc_ids)) if len(doc_ids) <= 1000 else leaves.join(leaves.sparkSession.createDataFrame([(i,) for i in set(doc_ids)], "id string"), "id", "left_semi")
+    if start > 0:
+        # an id has changed if one of its leaves has: this condition reaches the scan, and only those ids are elected
+        leaves = leaves.join(leaves.where(F.col("seq") > start).select("id").distinct(), "id", "left_semi")
+    bodies = include_docs or selector is not None or js is not None
+    rows = winners(leaves if bodies else bare(leaves))
     if js is not None:
         selector = js_filter(js, query)
     if selector is not None:
