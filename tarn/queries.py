@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -12,10 +13,10 @@ from .functions import proto, validate
 from .functions.jsfilter import js_filter
 from .functions.spatial import Rect, covering_condition, quadkey
 from .operators import revisions as rv
-from .operators.find import find, index_rows
+from .operators.find import find, index_rows, materialize, with_materialized
 from .operators.match import condition
 from .plans.planner import index_def
-from .sources.collection import Collection
+from .sources.collection import Collection, shared_folder
 from .streaming import changes as ch
 from .streaming.replicate import delta
 
@@ -103,6 +104,21 @@ def _(spark, d):
     return t.where(condition(t, {"k": {"$gt": 50}}, body="v")).select("event_id")
 
 
+def _turns(spark, d):
+    return read(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("turn", "role")).alias("turns"), F.collect_list(F.array("role")).alias("roles"))
+
+
+for _name, _selector, _having in [
+    ("sel_in_objects", {"turns": {"$in": [{"role": "user", "turn": 2}, "x"]}}, "bool_or(turn = 2 AND role = 'user')"),
+    ("sel_nin_arrays", {"roles": {"$nin": [["assistant"], 5]}}, "NOT bool_or(role = 'assistant')"),
+    ("sel_all_objects", {"turns": {"$all": [{"turn": 0, "role": "user"}, {"turn": 3, "role": "assistant"}]}}, "bool_or(turn = 0 AND role = 'user') AND bool_or(turn = 3 AND role = 'assistant')"),
+    ("sel_elem_match_order", {"roles": {"$elemMatch": {"$gt": ["assistant", "x"], "$lt": ["user"]}}}, "bool_or(role > 'assistant' AND role < 'user')"),
+]:
+    _sql = f"SELECT conv_id FROM conversations GROUP BY conv_id HAVING {_having}"
+    query(_name, _sql)(lambda spark, d, s=_selector: (t := _turns(spark, d)).where(condition(t, s)).select("conv_id"))
+    query(f"{_name}_json", _sql)(lambda spark, d, s=_selector: (t := _turns(spark, d).select("conv_id", F.parse_json(F.to_json(F.struct("turns", "roles"))).alias("v"))).where(condition(t, s, body="v")).select("conv_id"))
+
+
 # find
 
 _finds("find_sort_asc", "orders", "o_orderkey", {"selector": {"o_orderstatus": "F"}, "fields": ["o_orderkey", "o_totalprice"], "sort": ["o_totalprice"], "limit": 50}, "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' ORDER BY o_totalprice, o_orderkey LIMIT 50")
@@ -175,6 +191,42 @@ def _(spark, d):
     return _boxes(spark, d).select("event_id", quadkey(F.col("w"), F.col("s"), F.col("e"), F.col("n")).alias("key"))
 
 
+_WRITTEN: dict[tuple[str, str, str], Collection] = {}
+
+
+def _indexed(spark: SparkSession, d: str, name: str, c: Collection, fields: list[str], kind: str = "json") -> Collection:
+    """c with an index that is written once for each table and application."""
+    key = (spark.sparkContext.applicationId, d, name)
+    if key not in _WRITTEN:
+        _WRITTEN[key] = with_materialized(c, index_def({"fields": fields}, kind=kind), f"{shared_folder(spark)}/tarn-index-{uuid.uuid4().hex}")
+    return Collection(c.df, c.id, indexes=_WRITTEN[key].indexes)
+
+
+def _orders(spark, d):
+    return Collection(read(spark, d, "orders"), "o_orderkey")
+
+
+def _every(c: Collection, q: dict) -> DataFrame:
+    """All that a query finds."""
+    return find(c, {**q, "limit": 2**31 - 1}).df
+
+
+query("point_lookup", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_orderkey = 77")(lambda spark, d: _orders(spark, d).get(77).select("o_orderkey", "o_custkey", "o_totalprice"))
+query("find_point", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = 77")(lambda spark, d: _every(_indexed(spark, d, "custkey", _orders(spark, d), ["o_custkey"]), {"selector": {"o_custkey": 77}, "fields": ["o_orderkey", "o_totalprice"]}))
+query("find_index_range", "SELECT o_orderkey, o_custkey FROM orders WHERE o_totalprice >= 200000 AND o_totalprice < 240000 AND o_orderstatus <> 'F'")(lambda spark, d: _every(_indexed(spark, d, "price", _orders(spark, d), ["o_totalprice"]), {"selector": {"o_totalprice": {"$gte": 200000, "$lt": 240000}, "o_orderstatus": {"$ne": "F"}}, "fields": ["o_orderkey", "o_custkey"]}))
+
+
+@query("find_bbox_indexed", f"SELECT event_id FROM {_BOXES} WHERE w <= -140 AND e >= -146 AND s <= 8 AND n >= 5")
+def _(spark, d):
+    c = _indexed(spark, d, "boxes", Collection(_boxes(spark, d), "event_id"), ["w", "s", "e", "n"], "spatial")
+    return _every(c, {"selector": {"w": {"$lte": -140}, "e": {"$gte": -146}, "s": {"$lte": 8}, "n": {"$gte": 5}}, "fields": ["event_id"]})
+
+
+@query("index_build", "SELECT event_type AS k0, value AS k1, event_id AS id FROM events WHERE event_type IS NOT NULL AND value IS NOT NULL")
+def _(spark, d):
+    return materialize(Collection(read(spark, d, "events"), "event_id"), index_def({"fields": ["event_type", "value"]}), f"{shared_folder(spark)}/tarn-index-{uuid.uuid4().hex}")
+
+
 # documents by id, and revisions: each lineitem row is a leaf of its order
 
 
@@ -251,6 +303,59 @@ def _(spark, d):
     return rv.stem(deep, 2).groupBy("id").agg(F.count("*").alias("n"), F.sum(F.size("path").cast("long")).alias("kept"))
 
 
+# histories: an order has a revision for each of its lines, in a row; each third order has a second leaf that leaves the row after its first revision
+
+
+def _histories(spark, d):
+    t = read(spark, d, "lineitem").groupBy("l_orderkey").agg(F.count("*").cast("int").alias("k")).select(F.col("l_orderkey").cast("string").alias("id"), "l_orderkey", "k")
+    rev = lambda n: F.md5(F.concat_ws("-", "id", n.cast("string")))
+    row = F.transform(F.sequence(F.col("k"), F.lit(1), F.lit(-1)), rev)
+    facts = [F.lit(False).alias("deleted"), F.col("l_orderkey").alias("seq"), F.col("k").alias("body")]
+    main = t.select("id", F.col("k").cast("long").alias("pos"), row.alias("path"), *facts)
+    side = t.where("l_orderkey % 3 = 0").select("id", F.lit(2).cast("long").alias("pos"), F.array(F.lit("side"), rev(F.lit(1))).alias("path"), *facts)
+    return main.union(side)
+
+
+_ROWS = "(SELECT l_orderkey::VARCHAR AS id, l_orderkey, count(*) AS k FROM lineitem GROUP BY l_orderkey)"
+_REVS = f"(SELECT id, k, n AS pos, md5(id || '-' || n) AS rev FROM {_ROWS}, LATERAL (SELECT unnest(range(1, k + 1)) AS n))"
+
+
+@query("histories_all_revs", f"SELECT id, pos, rev FROM {_REVS} UNION ALL SELECT id, 2, 'side' FROM {_ROWS} WHERE l_orderkey % 3 = 0")
+def _(spark, d):
+    return rv.all_revs(_histories(spark, d))
+
+
+@query("histories_diff", f"SELECT id, CASE WHEN k < 3 THEN '3-' || md5(id || '-3') || ',' ELSE '' END || '9-x' AS missing, nullif(array_to_string(list_sort(list_filter([CASE WHEN k < 9 THEN k || '-' || md5(id || '-' || k) END, CASE WHEN l_orderkey % 3 = 0 THEN '2-side' END], lambda x: x IS NOT NULL)), ','), '') AS possible FROM {_ROWS}")
+def _(spark, d):
+    leaves = _histories(spark, d)
+    asked = leaves.select("id").distinct().select("id", F.explode(F.array(F.concat(F.lit("3-"), F.md5(F.concat("id", F.lit("-3")))), F.lit("9-x"))).alias("rev"))
+    return rv.revs_diff(leaves, asked).select("id", F.array_join("missing", ",").alias("missing"), F.array_join("possible_ancestors", ",").alias("possible"))
+
+
+@query("histories_latest", f"SELECT id, k || '-' || md5(id || '-' || k) AS found, k AS body FROM {_ROWS} UNION ALL SELECT id, '2-side', k FROM {_ROWS} WHERE l_orderkey % 3 = 0")
+def _(spark, d):
+    leaves = _histories(spark, d)
+    asked = leaves.select("id").distinct().select(F.col("id").cast("long").alias("n"), "id", F.concat(F.lit("1-"), F.md5(F.concat("id", F.lit("-1")))).alias("rev"))
+    return rv.bulk_get(leaves, asked, latest=True).select("id", "found", F.col("body").cast("long").alias("body"))
+
+
+@query("histories_merge", f"SELECT id, k AS pos, string_agg(rev, ',' ORDER BY pos DESC) AS path FROM {_REVS} GROUP BY id, k")
+def _(spark, d):
+    from .operators.writes import merge_revs
+
+    whole = _histories(spark, d).where(F.col("path")[0] != "side")
+    # each second order lacks its last revision, which comes with its parent only
+    late = (F.col("seq") % 2 == 0) & (F.col("pos") > 1)
+    old = whole.withColumns({"path": F.when(late, F.slice("path", 2, 100)).otherwise(F.col("path")), "pos": F.col("pos") - late.cast("long")})
+    new = whole.where(late).withColumn("path", F.slice("path", 1, 2))
+    return merge_revs(old, new, 10**9)[0].select("id", "pos", F.array_join("path", ",").alias("path"))
+
+
+@query("changes_all_revs", "SELECT user_id::VARCHAR AS id, string_agg((event_id + 1) || '-' || md5(event_id::VARCHAR), ',' ORDER BY event_type = 'error', event_id DESC) AS changes FROM events GROUP BY user_id")
+def _(spark, d):
+    return ch.changes(_events(spark, d), style="all_docs").select("id", F.array_join("changes", ",").alias("changes"))
+
+
 @query("db_info", f"SELECT count(*) FILTER (NOT del) AS doc_count, count(*) FILTER (del) AS doc_del_count, (SELECT max(seq) FROM {_LEAVES}) AS update_seq, (SELECT count(*) FROM {_LEAVES}) AS leaf_count, (SELECT count(*) * 100 FROM {_LEAVES})::BIGINT AS active_size FROM {_RANKED} WHERE k = 1")
 def _(spark, d):
     return rv.db_info(_leaves(spark, d))
