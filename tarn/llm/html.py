@@ -30,6 +30,8 @@ PARTS = frozenset("div section ul ol dl table figure details center fieldset".sp
 CLOSES_P = frozenset("address article aside blockquote div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 LIKE = {"li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th", "option": "option"}
 STOPS = frozenset("ul ol dl table article main body section div nav aside footer header form".split())
+#: Elements that only their own end tags close.
+ROOTS = frozenset("article main body".split())
 #: Words of a class, id or role that name what isn't the article.
 NOISE = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentary cookie cookies consent disqus footer header masthead menu modal nav navbar navigation newsletter notice notices notification popup promo promoted related replies respond share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget widgets alert gdpr complementary contentinfo search".split())
 
@@ -48,55 +50,73 @@ class Node:
         self.noise = tag in DROP or bool(attrs) and not NOISE.isdisjoint(_WORDS.findall(attrs)) and tag not in ("html", "body", "article", "main")
 
 
+class _Path:
+    """The open elements. It knows where each tag, and each kind of element that stops a search, is open last, so that no tag walks over the others."""
+
+    def __init__(self, root: Node):
+        self.nodes, self.at, self.stops, self.roots = [root], {}, [], []
+
+    def push(self, node: Node) -> None:
+        k = len(self.nodes)
+        self.nodes.append(node)
+        self.at.setdefault(node.tag, []).append(k)
+        if node.tag in STOPS:
+            self.stops.append(k)
+        if node.tag in ROOTS:
+            self.roots.append(k)
+
+    def last(self, tags) -> int:
+        return max((self.at[t][-1] for t in tags if self.at.get(t)), default=0)
+
+    def cut(self, k: int) -> None:
+        """Closes the k-th element and those in it."""
+        while len(self.nodes) > k:
+            self.at[self.nodes.pop().tag].pop()
+        for places in (self.stops, self.roots):
+            while places and places[-1] >= k:
+                places.pop()
+
+    def close(self, tags, barriers: list[int]) -> None:
+        """Closes the last open element of tags, unless a barrier is open in it."""
+        if k := self.last(tags):
+            if not barriers or k > barriers[-1]:
+                self.cut(k)
+
+
 def parse(source: str) -> Node:
     """The tree of a page."""
     root = Node("")
-    path, at, n = [root], 0, len(source)
+    path, at, n = _Path(root), 0, len(source)
     while at < n:
         m = _TAG.search(source, at)
         if not m:
-            path[-1].parts.append(source[at:])
+            path.nodes[-1].parts.append(source[at:])
             break
         if m.start() > at:
-            path[-1].parts.append(source[at : m.start()])
+            path.nodes[-1].parts.append(source[at : m.start()])
         at, s = m.end(), m[0]
         if s[1] in "!?":
             continue
         tag = _NAME.match(s)[1].lower()
         if s[1] == "/":
-            for k in range(len(path) - 1, 0, -1):
-                if path[k].tag == tag:
-                    del path[k:]
-                    break
-                if path[k].tag in ("article", "main", "body") and tag not in ("body", "html", "article", "main"):
-                    break
+            path.close((tag,), [] if tag in ROOTS or tag == "html" else path.roots)
             if tag in ("br", "p"):
-                path[-1].parts.append(Node("br"))
+                path.nodes[-1].parts.append(Node("br"))
             continue
         if tag in CLOSES_P:
-            for k in range(len(path) - 1, 0, -1):
-                if path[k].tag == "p":
-                    del path[k:]
-                    break
-                if path[k].tag in STOPS:
-                    break
+            path.close(("p",), path.stops)
         if tag in LIKE:
-            for k in range(len(path) - 1, 0, -1):
-                if path[k].tag in LIKE[tag].split():
-                    del path[k:]
-                    break
-                if path[k].tag in STOPS and path[k].tag != "tr":
-                    break
-        if tag == "body" and path[-1].tag == "head":
-            path.pop()
+            path.close(LIKE[tag].split(), path.stops)
+        if tag == "body" and path.nodes[-1].tag == "head":
+            path.cut(len(path.nodes) - 1)
         attrs = " ".join((a or b or c).lower() for _, a, b, c in _ATTR.findall(s)) if "=" in s else ""
         node = Node(tag, attrs)
-        path[-1].parts.append(node)
+        path.nodes[-1].parts.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(source, at)
+            end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(source, at)
             at = end.end() if end else n
         elif tag not in VOID and not s.endswith("/>"):
-            path.append(node)
+            path.push(node)
     return root
 
 
