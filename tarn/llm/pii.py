@@ -1,24 +1,26 @@
 """Personal data: fixed patterns, and contextual extraction that bootstraps from what they find.
 
 An instance is a kind and a shape of an identifier-like token ("card" digits of some length, an address with one dot
-missing); a pattern is a kind with the word before and the word after. Seeds are the matches of the fixed patterns.
+missing); a pattern is the word before and the word after, in lower case without punctuation. Seeds are the matches of the fixed patterns.
 Spark scores the graph of patterns and instances in rounds: a pattern is as reliable as the mean reliability of the
 instances it holds, damped where it holds few; an instance is as reliable as the best pattern that holds it. Instances that
 reach TRUST through a pattern that reaches TRUST are reported as kind "found". Base spans stay, and a token that meets one adds none.
 
-Offsets are code points, ends exclusive. Defined results: a null text counts as empty; repeated rows and null ids give a row each.
+Offsets are code points, ends exclusive. Defined results: a null text counts as empty; repeated rows and null ids give a row each; an empty table gives no rows; a text of any length is read whole, in time that grows with it; other columns, whatever their names, are not read, and mask() passes them on.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import broadcast_if, keyed, outlive, releasing, save, spare_tables, with_keys
+from .common import broadcast_if, keyed, outlive, releasing, save, sha256_hex, spare_tables, with_keys
 
 KINDS = ("email", "ip", "card", "phone")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -26,7 +28,8 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[^0-9]")
-#: Tokens that may be identifiers: at least 6 characters with a digit among them, or with an @.
+#: What makes a token one that may be an identifier: characters, and digits where it holds no @, at least. Shorter numbers are told apart by no shape.
+SHORTEST, DIGITS = 6, 4
 _TOKEN = re.compile(r"(?<!\S)[^\sA-Za-z0-9@+]*([A-Za-z0-9@+](?:[A-Za-z0-9@._+/:-]*[A-Za-z0-9])?)[^\sA-Za-z0-9@+]*(?!\S)")
 _MARKED = re.compile(r"(?<!\S)[^\s0-9@]*+[0-9@]\S*+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -71,33 +74,65 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def _key(s: str, most: int) -> str:
+    """s, or where it is longer than most a digest of all of it, so that keys stay short and differ as the texts do."""
+    return s if len(s) <= most else f"#{sha256_hex(s)}"
+
+
 def shape(token: str) -> str:
     """Runs of digits and letters, with the length of the digits: 9 for a digit, a for letters."""
-    return re.sub(r"[A-Za-z]+", "a", re.sub(r"[0-9]", "9", token))[:64]
+    return _key(re.sub(r"[A-Za-z]+", "a", re.sub(r"[0-9]", "9", token)), 80)
 
 
 _EDGE = re.compile(r"[\W_]+")
+_CHUNK = re.compile(r"\S+")
 
 
 def _plain(word: str) -> str:
-    return _EDGE.sub("", word.lower())[:32]
+    return _key(_EDGE.sub("", word.lower()), 80)
+
+
+def contexts(text: str, spots: list[tuple[int, int]]) -> list[str]:
+    """The pattern of each of spots (start, end): what stands before and after it up to white space or the next spot, or else the whole word before and after."""
+    chunks = [m.span() for m in _CHUNK.finditer(text)]
+    starts = [a for a, _ in chunks]
+    order = sorted(range(len(spots)), key=spots.__getitem__)
+    words: dict[int, str] = {}
+
+    def word(k: int) -> str:
+        if not 0 <= k < len(chunks):
+            return ""
+        if k not in words:
+            words[k] = _plain(text[slice(*chunks[k])])
+        return words[k]
+
+    out, done = [""] * len(spots), 0
+    for n, i in enumerate(order):
+        a, b = spots[i]
+        first, last = bisect_right(starts, a) - 1, bisect_right(starts, b - 1) - 1
+        following = spots[order[n + 1]][0] if n + 1 < len(order) else len(text)
+        before = _plain(text[max(chunks[first][0], done) : a]) or word(first - 1)
+        after = _plain(text[b : min(chunks[last][1], following)]) or word(last + 1)
+        out[i], done = f"{before} _ {after}", max(done, b)
+    return out
 
 
 def candidates(text: str, base: list) -> list[tuple[str, int, int, str, str]]:
     """(kind or "", start, end, instance, pattern): seeds, and tokens that may be identifiers and meet no seed."""
-    out, taken = [], sorted((a, b) for _, a, b in base)
+    taken = sorted((a, b) for _, a, b in base)
+    reach = [0, *accumulate((b for _, b in taken), max)]
     spots = [(k, a, b) for k, a, b in base]
     for m in _MARKED.finditer(text):
         t = _TOKEN.fullmatch(m[0])
-        if not t or len(t[1]) < 6 or sum(c.isdigit() for c in t[1]) < 4 and "@" not in t[1]:
+        if not t or len(t[1]) < SHORTEST or sum(c.isdigit() for c in t[1]) < DIGITS and "@" not in t[1]:
             continue
         a, b = m.start() + t.start(1), m.start() + t.end(1)
-        if not any(x < b and a < y for x, y in taken):
+        # of the seeds that start before its end, none ends after its start
+        if reach[bisect_right(taken, (b, -1))] <= a:
             spots.append(("", a, b))
-    for kind, a, b in spots:
-        before, after = text[max(0, a - 80) : a].split()[-1:], text[b : b + 80].split()[:1]
-        out.append((kind, a, b, shape(text[a:b]), f"{_plain(before[0]) if before else ''} _ {_plain(after[0]) if after else ''}"))
-    return out
+    if not spots:
+        return []
+    return [(kind, a, b, shape(text[a:b]), p) for (kind, a, b), p in zip(spots, contexts(text, [s[1:] for s in spots]))]
 
 
 def _read(batches):
