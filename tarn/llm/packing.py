@@ -2,7 +2,7 @@
 
 Only documents longer than a sequence are cut: into full pieces, each a sequence of its own, and a shorter first piece.
 What remains is packed longest first. Each piece goes where the sum over gaps of (open sequences with that gap) squared
-becomes smallest: into an open sequence, whose gap then shrinks, or into a new one. Rows are dealt by a hash into groups
+becomes smallest: into an open sequence, whose gap then shrinks, or into a new one. Rows are dealt by a hash of id, text and place into groups
 of about GROUP documents, and each group is packed on its own: its state is a count per gap, so a task needs little memory.
 
 Defined results: a null text counts as empty and holds the end id alone; repeated rows and null ids are packed row by row; an empty table gives no rows.
@@ -54,12 +54,12 @@ def sum_of_squares(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarr
 
 
 def _encode(path: str, end: int, size: int):
-    """Per document: how many ids it has, and the checksum of each piece."""
+    """Per document: how many ids it has, the checksum of each piece, and a number that differs between equal rows of a task."""
 
     def run(batches):
         import pyarrow as pa
 
-        bpe, tail = load(path), end.to_bytes(4, "little")
+        bpe, tail, seen = load(path), end.to_bytes(4, "little"), 0
         for batch in batches:
             for start in range(0, len(batch), 500):
                 part = batch.slice(start, 500)
@@ -68,7 +68,8 @@ def _encode(path: str, end: int, size: int):
                     ids = bpe.packed(text or "") + tail
                     lengths.append(len(ids) // 4)
                     sums.append([zlib.crc32(ids[4 * a : 4 * (a + m)]) for a, m in cut(len(ids) // 4, size)])
-                    salts.append(zlib.crc32(ids))
+                    salts.append(zlib.crc32(ids) << 31 | seen & 0x7FFFFFFF)
+                    seen += 1
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array(lengths, pa.int64()), pa.array(sums, pa.list_(pa.int64())), pa.array(salts, pa.int64())], names=["doc_id", "n", "crcs", "salt"])
 
     return run

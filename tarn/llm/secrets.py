@@ -1,11 +1,11 @@
 """Secret scans: fixed patterns, and two character Markov models that tell random strings from ordinary identifiers.
 
 Both models are of order 1, and rare pairs lean on the frequency of the character. They are trained from labelled samples: the values that the fixed
-patterns find in the corpus (random), and the longest plain words of it (ordinary), each up to SAMPLE strings that are
+patterns find in the corpus (random), and plain words of it (ordinary), each up to SAMPLE strings that are
 chosen by hash over all documents, with the lists below as a floor; numbers, dates, runs and sequences of characters are ordinary. A token of SHORTEST characters or more, as long as
 the labelled values, is reported as kind "markov" if the log-likelihood ratio per character, less the noise of its length, says random. Base spans stay; a token that meets a base span adds none.
 
-Offsets are code points, ends exclusive. Defined results: a null text counts as empty; repeated rows and null ids give a row each.
+Offsets are code points, ends exclusive. Defined results: a null text counts as empty; repeated rows and null ids give a row each; an empty table gives no rows; texts of any length are read whole; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ SHORTEST = 16
 _TOKEN = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{SHORTEST},}}")
 #: Labelled strings per class that train the models, at most.
 SAMPLE = 5_000
+#: Characters of a labelled value that train, at most; plain words train if they have 8 to 40. A token is judged whole, whatever its length.
+PIECE = 200
 #: Log-likelihood ratio per character above which a token is random.
 MARGIN = 0.5
 ORDINARY = """get_user_by_id connection_timeout_ms DataFrameWriter org/apache/spark/sql/functions max_partition_bytes read_from_file
@@ -121,7 +123,7 @@ def _labelled(batches):
             for kind, a, b in base_spans(text):
                 value = _ASSIGN.match(text, a)[2] if kind == "assign" else text[a:b]
                 if len(value) >= SHORTEST:
-                    rows.add((1, value[:200]))
+                    rows.add((1, value[:PIECE]))
             rows.update((0, w) for w in _WORD.findall(text))
             if len(rows) > 8 * SAMPLE:
                 rows = set(_first(rows))
