@@ -288,6 +288,14 @@ def test_bootstrapping_finds_unseen_identifiers(spark):
     assert all(out[100 + i] == "found:12:22" for i in range(5)) and all(out[200 + i] == "" for i in range(5)) and out[0] == "phone:12:29"
 
 
+def test_contexts_of_identifiers():
+    assert pii.contexts("mail: a1@b.co, or", [(6, 13)]) == ["mail _ or"] and pii.contexts("(tel=12345 end", [(5, 10)]) == ["tel _ end"]
+    assert pii.contexts("a@b.co;c@d.co", [(0, 6), (7, 13)]) == [" _ ", " _ "] and pii.contexts("1", [(0, 1)]) == [" _ "]
+    far = "w" * 500
+    assert len(pii.contexts(f"{far} 123456 {far[:499]}", [(501, 507)])[0]) < 200 and pii.contexts(f"{far} 1 x", [(501, 502)]) != pii.contexts(f"{far}w 1 x", [(502, 503)])
+    assert pii.shape("12-ab-" + "9" * 200) != pii.shape("12-ab-" + "9" * 201) and pii.shape("12-ab") == "99-a"
+
+
 def test_masking(spark, odd):
     docs = spark.createDataFrame([(1, "to a@b.de!", "x", 10), (2, None, "y", None), (3, "5500005555555559 ok", "z", 19)], "doc_id long, text string, source string, n_chars long")
     assert sorted(rows_of(pii.mask(docs))) == [(1, "to [email]!", "x", 11), (2, None, "y", None), (3, "[card] ok", "z", 9)]
@@ -393,6 +401,15 @@ def test_html_text():
     assert html.text_of("<p>" * 3000 + "x") == "x" and html.text_of("<div>" * 3000 + "x") == "x"
 
 
+def test_pages_of_many_open_tags_take_linear_time():
+    import time
+
+    start = time.time()
+    for page in ("<b>" * 20_000 + "</i>" * 20_000, "<b><main>" + "<i>" * 20_000 + "</b>" * 20_000 + "x", "<ul>" + "<b>" * 20_000 + "<li>" * 20_000):
+        html.text_of(page)
+    assert time.time() - start < 20
+
+
 def test_templates_of_a_host_go(spark):
     pages = [(i, f"http://a.example/{i}", f"<body><div><p>Welcome to our site</p></div><div><p>story {i}</p></div>") for i in range(8)]
     pages += [(100 + i, f"http://b.example/{i}", f"<body><div><p>Welcome to our site</p></div><p>story {i}</p>") for i in range(3)]
