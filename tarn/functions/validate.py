@@ -27,6 +27,7 @@ def keeps_ownership(new: Column, old: Column, schema: T.StructType) -> Column:
         return truthy(db.getField(name), schema[name].dataType) if name in schema.names else F.lit(False)
 
     lost = lambda name: has(old, name) & ~has(new, name)
+    # fixed values: the reasons are part of the replies
     return (
         F.when(new.isNull() & has(old, "CreatedByUid"), "soft delete requires db object (with ownership metadata)")
         .when(new.isNull(), F.lit(None))

@@ -305,6 +305,8 @@ def test_filter_functions():
     f = "function(doc, req) {\n  return (doc.type == 'field' || doc.type == \"vehicle\") && doc.deleted !== true;\n}"
     assert js_filter(f) == {"$and": [{"$or": [{"type": {"$eq": "field"}}, {"type": {"$eq": "vehicle"}}]}, {"deleted": {"$ne": True}}]}
     assert js_filter("function(doc, req) { return req.query.x === doc.meta.owner; }", {"x": "o1"}) == {"meta.owner": {"$eq": "o1"}}
+    with pytest.raises(SelectorError):
+        js_filter("function(doc, req) { return doc.kind == 'a\\x62'; }")
     for bad in ("function(doc, req) { if (doc.x) return true; }", "function(doc, req) { return doc.a > 3; }", "function(doc, req) { return doc.a === doc.b; }", "function(doc, req) { return req.query.a === 'x'; }", "function(doc) { return doc.u === req.query.missing; }", "function(doc) { return }", "x", "function(doc) { return (doc.a == 1; }"):
         with pytest.raises(SelectorError):
             js_filter(bad)
