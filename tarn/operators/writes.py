@@ -17,10 +17,10 @@ def save(leaves: DataFrame, docs: DataFrame, next_seq: int, validator: Callable[
     No rev on a live document, or a rev that is no leaf, is a conflict; no rev on a tombstone makes its child; ids that start with _ but not _design/ are refused. validator(new body, old body) gives a reason to reject.
     """
     asked = docs.select("id", "rev", "deleted", F.col("body").alias("new"), parse_rev(F.col("rev")).alias("p"))
-    near = leaves.join(docs.select("id").distinct(), "id", "left_semi")
-    won = winners(bare(near)).select("id", F.col("pos").alias("wpos"), F.col("path").alias("wpath"), F.col("deleted").alias("wdel"))
+    # only the asked ids are elected
+    won = winners(bare(leaves).join(docs.select("id").distinct(), "id", "left_semi")).select("id", F.col("pos").alias("wpos"), F.col("path").alias("wpath"), F.col("deleted").alias("wdel"))
     rows = asked.join(won, "id", "left")
-    at = near.select("id", F.col("pos").alias("lpos"), F.col("path").alias("lpath"), F.col("deleted").alias("ldel"), F.col("body").alias("old"))
+    at = leaves.select("id", F.col("pos").alias("lpos"), F.col("path").alias("lpath"), F.col("deleted").alias("ldel"), F.col("body").alias("old"))
     # the parent: the leaf that rev names, or the winning tombstone where there is no rev
     want = F.when(F.col("rev").isNotNull(), F.struct(F.col("p.pos").alias("pos"), F.col("p.rev").alias("rev"))).when(F.col("wdel"), F.struct(F.col("wpos").alias("pos"), F.col("wpath")[0].alias("rev")))
     rows = rows.withColumn("want", want).alias("r")
