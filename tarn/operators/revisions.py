@@ -144,6 +144,16 @@ def purge(leaves: DataFrame, asked: DataFrame, next_seq: int) -> tuple[DataFrame
     return out, gone.select("id", F.col("_rev").alias("rev"))
 
 
+def purge_log(purged: DataFrame, last: int = 0) -> DataFrame:
+    """(purge_seq, id, rev) of purged leaves, numbered on from last."""
+    return numbered(purged, hashed(), [F.col("id"), F.col("rev")], last + 1, "purge_seq").select("purge_seq", "id", "rev")
+
+
+def purge_seq(log: DataFrame) -> DataFrame:
+    """One row: the greatest purge_seq of a log, 0 if it is empty."""
+    return log.agg(F.coalesce(F.max("purge_seq"), F.lit(0)).cast("long").alias("purge_seq"))
+
+
 def numbered(rows: DataFrame, bucket: Column, order: list[Column], start: int, name: str) -> DataFrame:
     """rows with consecutive numbers from start, in the order of bucket and then order. Only the counts per bucket meet in one task."""
     from pyspark.sql import Window

@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from .functions import proto, validate
 from .functions.jsfilter import js_filter
+from .functions.stamps import http_date, iso8601
 from .functions.spatial import Rect, covering_condition, quadkey
+from .operators import documents as dc
 from .operators import revisions as rv
 from .operators.find import find, index_rows, materialize, with_materialized
 from .operators.match import condition
@@ -466,6 +468,84 @@ def _(spark, d):
     return t.select("o_orderkey", validate.keeps_ownership(F.col("new"), F.col("old"), t.schema["old"].dataType).alias("reason"))
 
 
+# documents as readers see them
+
+
+# of an order with a row of at most two revisions the second leaf wins, if it has one
+_SIDE = "k <= 2 AND id::BIGINT % 3 = 0"
+
+
+@query("documents_assembled", f"SELECT id AS _id, CASE WHEN {_SIDE} THEN '2-side' ELSE k || '-' || md5(id || '-' || k) END AS _rev, k AS body, CASE WHEN {_SIDE} THEN 2 ELSE k END AS start, CASE WHEN {_SIDE} THEN 'side,' || md5(id || '-1') ELSE string_agg(rev, ',' ORDER BY pos DESC) END AS ids FROM {_REVS} GROUP BY id, k")
+def _(spark, d):
+    t = dc.assemble(_histories(spark, d), revs=True)
+    return t.select("_id", "_rev", F.col("body").cast("long").alias("body"), "_revisions.start", F.array_join("_revisions.ids", ",").alias("ids"))
+
+
+@query("documents_open_revs", f"SELECT r.id AS _id, r.pos || '-' || r.rev AS _rev, coalesce((SELECT string_agg(o.pos || '-' || o.rev, ',' ORDER BY o.pos DESC, o.rev DESC) FROM {_RANKED} o WHERE o.id = r.id AND NOT o.del AND (o.pos <> r.pos OR o.rev <> r.rev)), '') AS conflicts, coalesce((SELECT string_agg(o.pos || '-' || o.rev, ',' ORDER BY o.pos DESC, o.rev DESC) FROM {_RANKED} o WHERE o.id = r.id AND o.del AND (o.pos <> r.pos OR o.rev <> r.rev)), '') AS deleted_conflicts FROM {_LEAVES} r")
+def _(spark, d):
+    leaves = _leaves(spark, d).withColumn("body", F.lit(None).cast("string"))
+    asked = leaves.select("id", rv.rev_text(F.col("pos"), rv.leaf_rev()).alias("rev"))
+    text = lambda c: F.coalesce(F.array_join(c, ","), F.lit(""))
+    return dc.assemble(leaves, asked, conflicts=True).select("_id", "_rev", text("_conflicts").alias("conflicts"), text("_deleted_conflicts").alias("deleted_conflicts"))
+
+
+@query("dump_lines", f"SELECT '{{\"_id\":\"' || id || '\",\"_rev\":\"' || CASE WHEN {_SIDE} THEN '2-side' ELSE k || '-' || md5(id || '-' || k) END || '\",\"lines\":' || k || '}}' AS value FROM {_ROWS}")
+def _(spark, d):
+    return dc.dump(_histories(spark, d).withColumn("body", F.struct(F.col("body").alias("lines"))))
+
+
+@query("changes_lines", f"SELECT seq, '{{\"seq\":' || seq || ',\"id\":\"' || id || '\",\"rev\":\"' || (e + 1) || '-' || md5(e::VARCHAR) || '\"' || CASE WHEN NOT EXISTS (SELECT 1 FROM events x WHERE x.event_id = e AND x.event_type <> 'error') THEN ',\"deleted\":true' ELSE '' END || '}}' AS value FROM {_FEED}")
+def _(spark, d):
+    return ch.changes_lines(_events(spark, d))
+
+
+def _with_files(spark, d):
+    t = read(spark, d, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("id"), F.lit(1).cast("long").alias("pos"), F.array(F.lit("a")).alias("path"), F.lit(False).alias("deleted"), F.col("doc_id").alias("seq"), F.col("lang").alias("body"), "text")
+    entry = dc.attachment(F.lit("text/plain"), F.col("text").cast("binary"), F.lit(1))
+    return t.select("id", "pos", "path", "deleted", "seq", "body", F.map_from_entries(F.array(F.struct(F.lit("text").alias("name"), entry.alias("a")))).alias("attachments"))
+
+
+@query("attachment_read", "SELECT doc_id::VARCHAR AS id, strlen(text)::BIGINT AS length, 'md5-' || to_base64(unhex(md5(text))) AS digest, md5(text) AS content FROM documents WHERE text IS NOT NULL")
+def _(spark, d):
+    leaves = _with_files(spark, d)
+    return dc.get_attachments(leaves, leaves.select("id", F.lit("text").alias("name"))).select("id", "length", "digest", F.md5("data").alias("content"))
+
+
+@query("attachment_put", "SELECT doc_id::VARCHAR AS id, CASE WHEN doc_id % 3 = 0 THEN 'note:2' WHEN doc_id % 3 = 1 THEN 'note:2,text:1' ELSE 'text:1' END AS names, lang AS body FROM documents WHERE text IS NOT NULL")
+def _(spark, d):
+    leaves = _with_files(spark, d)
+    kind = F.col("seq") % 3
+    put = leaves.where(kind < 2).select("id", F.lit("1-a").alias("rev"), F.lit("note").alias("name"), F.lit("text/plain").alias("content_type"), F.col("body").cast("binary").alias("data"))
+    gone = leaves.where(kind == 0).select("id", F.lit("1-a").alias("rev"), F.lit("text").alias("name"), F.lit(None).cast("string").alias("content_type"), F.lit(None).cast("binary").alias("data"))
+    after, _ = dc.put_attachments(leaves, put.union(gone), 10**9)
+    names = F.array_sort(F.transform(F.map_entries("attachments"), lambda e: F.concat_ws(":", e["key"], e["value"]["revpos"].cast("string"))))
+    return after.select("id", F.array_join(names, ",").alias("names"), "body")
+
+
+@query("local_range", "SELECT '_local/' || lpad(c_custkey::VARCHAR, 8, '0') AS _id, '0-' || CASE WHEN c_custkey % 2 = 0 THEN 3 ELSE 1 END AS _rev, CASE WHEN c_custkey % 2 = 0 THEN c_name ELSE 'old' END AS body FROM customer WHERE c_custkey >= 10 AND c_custkey <= 900")
+def _(spark, d):
+    t = read(spark, d, "customer").select("c_custkey", F.concat(F.lit("_local/"), F.lpad(F.col("c_custkey").cast("string"), 8, "0")).alias("id"), "c_name")
+    old = t.select("id", F.lit(1).cast("long").alias("n"), F.lit("old").alias("body"))
+    twice = t.where("c_custkey % 2 = 0").select("id", "c_custkey", F.explode(F.array(F.lit("first"), F.col("c_name"))).alias("body"))
+    docs = twice.select((F.col("c_custkey") * 2 + (F.col("body") != "first").cast("int")).alias("n"), "id", F.lit(None).cast("string").alias("rev"), F.lit(False).alias("deleted"), "body")
+    none = spark.createDataFrame([], "id string, pos long, path array<string>, deleted boolean, seq long, body string")
+    return dc.local_docs(dc.bulk_docs(none, old, docs, 1)[1], "_local/00000010", "_local/00000900")
+
+
+@query("bulk_docs", "SELECT o_orderkey * 2 + k AS n, o_orderkey::VARCHAR AS id, k = 0 AS ok, CASE WHEN k = 1 THEN 'conflict' END AS error FROM orders, range(2) r(k) WHERE k = 0 OR o_orderkey % 5 = 0")
+def _(spark, d):
+    t = read(spark, d, "orders").select("o_orderkey", F.explode(F.when(F.col("o_orderkey") % 5 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("k"))
+    docs = t.select((F.col("o_orderkey") * 2 + F.col("k")).alias("n"), F.col("o_orderkey").cast("string").alias("id"), F.lit(None).cast("string").alias("rev"), F.lit(False).alias("deleted"), F.col("k").cast("string").alias("body"))
+    none = spark.createDataFrame([], "id string, pos long, path array<string>, deleted boolean, seq long, body string")
+    return dc.bulk_docs(none, none.select("id", F.col("pos").alias("n"), "body"), docs, 1)[2].select("n", "id", "ok", "error")
+
+
+@query("dates", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso, strftime(ts, '%a, %d %b %Y %H:%M:%S GMT') AS http FROM events")
+def _(spark, d):
+    seconds = F.unix_seconds(F.col("ts").cast("timestamp"))
+    return read(spark, d, "events").select("event_id", iso8601(seconds).alias("iso"), http_date(seconds).alias("http"))
+
+
 def event_registry() -> proto.Registry:
     """message Event { int64 event_id = 1; string kind = 2; double value = 3; }"""
     from google.protobuf import descriptor_pb2

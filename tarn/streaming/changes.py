@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import time
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.jsfilter import js_filter
@@ -76,6 +77,56 @@ def feed(leaves: DataFrame, **options) -> Feed:
     return Feed(rows, last, top - last)
 
 
+def changes_lines(leaves: DataFrame, since: object = 0) -> DataFrame:
+    """(seq, value): a JSON text {seq, id, rev, and deleted on tombstones} for each id that changed after since, in order."""
+    rows = changes(leaves, since)
+    return rows.select("seq", F.to_json(F.struct("seq", "id", F.col("changes")[0].alias("rev"), F.when(F.col("deleted"), F.lit(True)).alias("deleted"))).alias("value"))
+
+
+def longpoll(read: Callable[[], DataFrame], since: object = "now", timeout: float = 60.0, poll: float = 0.5, **options) -> Feed:
+    """feed() as soon as it has a row, else after the next write or the timeout, scanned once more. read gives the leaves of the moment; since "now" is the last update at the call."""
+    leaves = read()
+    top = leaves.agg(F.max("seq")).first()[0] or 0
+    start = parse_since(since, top)
+    got = feed(leaves, since=start, **options)
+    end = time.monotonic() + timeout
+    if not got.rows.isEmpty():
+        return got
+    while time.monotonic() < end:
+        time.sleep(min(poll, max(0.0, end - time.monotonic())))
+        leaves = read()
+        if (leaves.agg(F.max("seq")).first()[0] or 0) > top:
+            break
+    return feed(leaves, since=start, **options)
+
+
+def continuous(read: Callable[[], DataFrame], since: object = 0, timeout: float | None = 60.0, heartbeat: float | None = None, poll: float = 0.5, limit: int | None = None, **options) -> Iterator[Row | None]:
+    """Rows of changes() as they come, without an end until limit rows were given or nothing came for timeout seconds. With heartbeat, None is given that often while nothing comes, and there is no timeout. Rows come through the driver, a partition at a time."""
+    leaves = read()
+    top = leaves.agg(F.max("seq")).first()[0] or 0
+    at, left = parse_since(since, top), limit
+    quiet = beat = time.monotonic()
+    while True:
+        top = leaves.agg(F.max("seq")).first()[0] or 0
+        if top > at:
+            for row in changes(leaves, at, limit=left, **options).toLocalIterator():
+                yield row
+                quiet = beat = time.monotonic()
+                if left is not None:
+                    left -= 1
+            if left is not None and left <= 0:
+                return
+            at = top
+        now = time.monotonic()
+        if heartbeat is not None and now - beat >= heartbeat:
+            beat = now
+            yield None
+        elif heartbeat is None and timeout is not None and now - quiet >= timeout:
+            return
+        time.sleep(poll)
+        leaves = read()
+
+
 def changes_stream(spark: SparkSession, path: str, schema, selector: dict | None = None, doc_ids: list[str] | None = None, files_per_batch: int | None = None) -> DataFrame:
     """A stream over a folder of Parquet commits of winners (id, seq, ...): rows as they are committed, filtered. Use sink_latest to hold one row per id."""
     reader = spark.readStream.schema(schema)
