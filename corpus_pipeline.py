@@ -44,7 +44,7 @@ STAGES = [
     ("pii", mask_personal_data),
     ("packing", pack_sequences),
 ]
-#: Stages 1, 4 and 5 have no SQL form; tests compare each stage with a plain version.
+#: Stages 1, 4 and 5 have no SQL form. Tests compare stages 2 and 3 with a plain version and 4 with the base patterns, the first with the operator's own scores; op9's tests compare packing with the library.
 ORACLE_SQL = None
 
 
