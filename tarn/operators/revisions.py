@@ -121,15 +121,17 @@ def merge(leaves: DataFrame, incoming: DataFrame) -> DataFrame:
     marked = leaves.withColumn("_new", F.lit(0)).unionByName(incoming.withColumn("_new", F.lit(1)), allowMissingColumns=True)
     one = marked.groupBy("id", "pos", leaf_rev().alias("_leaf")).agg(F.min_by(F.struct(*[F.col(c) for c in leaves.columns]), F.struct("_new", -F.size("path"))).alias("w"), F.max_by("path", F.size("path")).alias("_long"))
     one = one.select("id", "pos", "_leaf", *[F.col("w")[c].alias(c) for c in leaves.columns if c not in ("id", "pos", "path")], F.col("_long").alias("path"))
-    # longest known history below each revision of a path: paths that meet at (pos, rev) share what lies below
-    steps = one.select("id", "pos", "_leaf", "path", F.posexplode("path").alias("back", "rev"))
-    tails = steps.select("id", (F.col("pos") - F.col("back")).alias("at"), "rev", F.slice("path", F.col("back") + 1, F.size("path")).alias("tail"))
-    best = tails.groupBy("id", "at", "rev").agg(F.max_by("tail", F.size("tail")).alias("tail"), F.count("*").alias("paths"))
+    # revisions without the paths they stand on, so a long history isn't repeated for each of them
+    steps = one.select("id", "pos", "_leaf", F.size("path").alias("n"), F.posexplode("path").alias("back", "rev")).withColumn("at", F.col("pos") - F.col("back"))
     # grafting: the oldest revision of a path is extended by the longest history known there
     ends = one.withColumn("at", F.col("pos") - F.size("path") + 1).withColumn("rev", F.element_at("path", -1))
-    grown = ends.join(best.select("id", "at", "rev", "tail"), ["id", "at", "rev"]).withColumn("path", F.concat(F.slice("path", 1, F.size("path") - 1), "tail"))
+    met = steps.join(ends.select("id", "at", "rev").distinct(), ["id", "at", "rev"], "left_semi")
+    most = met.groupBy("id", "at", "rev").agg(F.max(F.struct((F.col("n") - F.col("back")).alias("known"), "pos", "_leaf", "back")).alias("m")).where("m.known > 1")
+    tails = most.select("id", "at", "rev", "m.pos", "m._leaf", "m.back").join(one.select("id", "pos", "_leaf", "path"), ["id", "pos", "_leaf"])
+    tails = tails.select("id", "at", "rev", F.slice("path", F.col("back") + 2, F.size("path")).alias("tail"))
+    grown = ends.join(tails, ["id", "at", "rev"], "left").withColumn("path", F.concat("path", F.coalesce("tail", F.array().cast("array<string>"))))
     # a revision that lies inside another path is no leaf
-    inner = steps.where("back > 0").select("id", (F.col("pos") - F.col("back")).alias("pos"), F.col("rev").alias("_leaf")).distinct()
+    inner = steps.where("back > 0").select("id", F.col("at").alias("pos"), F.col("rev").alias("_leaf")).distinct()
     return grown.join(inner, ["id", "pos", "_leaf"], "left_anti").select(*leaves.columns)
 
 
