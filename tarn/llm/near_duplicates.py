@@ -341,12 +341,14 @@ def _classes(docs: DataFrame) -> DataFrame:
 
 
 def _of_classes(classes: DataFrame, facts: DataFrame) -> DataFrame:
-    """classes with the facts (c, rows and others, rows > 1) of their class, null where there are none. The largest classes, of more than a HOT_CLASSES-th of all rows and so HOT_CLASSES at most, are broadcast; in the join of the rest no class is large."""
+    """classes with the facts (c, rows and others, rows > 1) of their class, null where there are none. The largest classes, of more than a HOT_CLASSES-th of all rows and so HOT_CLASSES at most, are broadcast; in the join of the rest no class is large. Rows without a class, which may be many, aren't joined."""
     most = classes.count() // HOT_CLASSES
     facts = save(facts)
     large = F.broadcast(facts.where(F.col("rows") > most))
-    rest = classes.join(large.select("c"), "c", "left_anti")
-    return classes.join(large, "c").unionByName(rest.join(facts.where(F.col("rows") <= most), "c", "left"))
+    named = classes.where("c is not null")
+    rest = named.join(large.select("c"), "c", "left_anti").join(facts.where(F.col("rows") <= most), "c", "left")
+    out = named.join(large, "c").unionByName(rest)
+    return out.unionByName(classes.where("c is null"), allowMissingColumns=True)
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
