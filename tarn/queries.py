@@ -546,6 +546,129 @@ def _(spark, d):
     return read(spark, d, "events").select("event_id", iso8601(seconds).alias("iso"), http_date(seconds).alias("http"))
 
 
+# documents by kind and range, nested forms, and what a sort asks
+
+
+@query("sel_nested_form", "SELECT event_id FROM events WHERE event_type = 'click' AND value > 50")
+def _(spark, d):
+    t = read(spark, d, "events").select("event_id", F.struct("event_type", "value").alias("doc"))
+    return t.where(condition(t, {"doc": {"event_type": "click", "value": {"$gt": 50}}})).select("event_id")
+
+
+@query("find_sort_existence", "SELECT o_orderkey, o_orderstatus AS open FROM orders WHERE o_orderstatus <> 'F'")
+def _(spark, d):
+    t = read(spark, d, "orders").withColumn("open", F.nullif("o_orderstatus", F.lit("F")))
+    return _every(Collection(t, "o_orderkey"), {"selector": {}, "sort": ["open"], "fields": ["o_orderkey", "open"]})
+
+
+@query("find_or_indexed", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice >= 300000 OR o_totalprice >= 200000 AND o_totalprice < 210000")
+def _(spark, d):
+    either = [{"o_totalprice": {"$gte": 300000}}, {"o_totalprice": {"$gte": 200000, "$lt": 210000}}]
+    return _every(_indexed(spark, d, "price", _orders(spark, d), ["o_totalprice"]), {"selector": {"$or": either}, "fields": ["o_orderkey", "o_totalprice"]})
+
+
+@query("id_range", "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey BETWEEN 100 AND 4000")
+def _(spark, d):
+    return _orders(spark, d).id_range(100, 4000).select("o_orderkey", "o_custkey")
+
+
+def _designs(spark, d):
+    name = F.concat(F.when(F.col("o_orderstatus") == "P", "_design/").otherwise(""), F.col("o_orderkey").cast("string"))
+    return Collection(read(spark, d, "orders").select(name.alias("_id"), (F.col("o_totalprice") < 100000).alias("gone")), "_id", deleted="gone")
+
+
+query("design_docs", "SELECT '_design/' || o_orderkey AS _id FROM orders WHERE o_orderstatus = 'P' AND o_totalprice >= 100000")(lambda spark, d: _designs(spark, d).design_docs().select("_id"))
+query("scan_live", "SELECT o_orderkey::VARCHAR AS _id FROM orders WHERE o_orderstatus <> 'P' AND o_totalprice >= 100000")(lambda spark, d: _designs(spark, d).scan().select("_id"))
+
+
+@query("rev_parse", "SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN (o_orderkey + 1)::BIGINT END AS pos, CASE WHEN o_orderstatus <> 'P' THEN 'r-' || o_orderstatus END AS rev FROM orders")
+def _(spark, d):
+    t = read(spark, d, "orders")
+    p = rv.parse_rev(F.concat(F.when(F.col("o_orderstatus") == "P", "x").otherwise(""), (F.col("o_orderkey") + 1).cast("string"), F.lit("-r-"), "o_orderstatus"))
+    return t.select("o_orderkey", p["pos"].alias("pos"), p["rev"].alias("rev"))
+
+
+# more of revisions
+
+
+@query("revs_missing", f"SELECT id, '9-unknown' AS missing FROM {_LEAVES} GROUP BY id")
+def _(spark, d):
+    leaves = _leaves(spark, d)
+    asked = leaves.select("id", rv.rev_text(F.col("pos"), rv.leaf_rev()).alias("rev")).union(leaves.select("id", F.lit("9-unknown")))
+    return rv.missing_revs(leaves, asked).select("id", F.array_join("missing", ",").alias("missing"))
+
+
+@query("revs_deleted_conflicts_all", f"SELECT id, coalesce(string_agg(pos || '-' || rev, ',' ORDER BY pos DESC, rev DESC) FILTER (k > 1 AND del), '') AS revs FROM {_RANKED} GROUP BY id")
+def _(spark, d):
+    return rv.conflicts(_leaves(spark, d)).select("id", F.array_join("_deleted_conflicts", ",").alias("revs"))
+
+
+@query("histories_descendants", f"SELECT id, k AS pos, md5(id || '-' || k) AS leaf FROM {_ROWS} UNION ALL SELECT id, 2, 'side' FROM {_ROWS} WHERE l_orderkey % 3 = 0")
+def _(spark, d):
+    leaves = _histories(spark, d)
+    first = leaves.select("id", F.lit(1).cast("long").alias("pos"), F.md5(F.concat("id", F.lit("-1"))).alias("rev")).distinct()
+    return rv.descendants(leaves, first).select("id", "pos", F.col("path")[0].alias("leaf"))
+
+
+@query("histories_stem", f"SELECT id, string_agg(rev, ',' ORDER BY pos DESC) AS path FROM {_REVS} WHERE pos > k - 2 GROUP BY id UNION ALL SELECT id, 'side,' || md5(id || '-1') FROM {_ROWS} WHERE l_orderkey % 3 = 0")
+def _(spark, d):
+    return rv.stem(_histories(spark, d), 2).select("id", F.array_join("path", ",").alias("path"))
+
+
+@query("histories_graft", f"SELECT id, k AS pos, string_agg(rev, ',' ORDER BY pos DESC) AS path FROM {_REVS} GROUP BY id, k")
+def _(spark, d):
+    from .operators.writes import merge_revs
+
+    # the known path is the lower part of the row, what comes in is the upper part; they meet in one revision
+    whole = _histories(spark, d).where(F.col("path")[0] != "side")
+    half = F.floor((F.col("pos") + 1) / 2)
+    old = whole.withColumns({"path": F.slice("path", (F.col("pos") - half + 1).cast("int"), half.cast("int")), "pos": half})
+    new = whole.withColumn("path", F.slice("path", F.lit(1), (F.col("pos") - half + 1).cast("int")))
+    return merge_revs(old, new, 10**9)[0].select("id", "pos", F.array_join("path", ",").alias("path"))
+
+
+@query("histories_verify", f"SELECT count(*) AS docs, (count(*) + count(*) FILTER (l_orderkey % 3 = 0))::BIGINT AS leaves, true AS seqs_unique, (sum(k) + 2 * count(*) FILTER (l_orderkey % 3 = 0))::BIGINT AS path_revs, bool_and(l_orderkey % 3 <> 0 OR k >= 1) AS paths_sound FROM {_ROWS}")
+def _(spark, d):
+    return rv.verify(_histories(spark, d))
+
+
+@query("purge_seq", f"SELECT (10 + count(*))::BIGINT AS purge_seq FROM {_RANKED} WHERE k = 1")
+def _(spark, d):
+    leaves = _leaves(spark, d)
+    asked = rv.winners(leaves).select("id", rv.rev_text(F.col("pos"), rv.leaf_rev()).alias("rev"))
+    return rv.purge_seq(rv.purge_log(rv.purge(leaves, asked, 10**6)[1], 10))
+
+
+@query("changes_docs", f"SELECT f.id, f.seq, x.event_type, x.value FROM {_FEED} f JOIN events x ON x.event_id = f.e")
+def _(spark, d):
+    return ch.changes(_events(spark, d), include_docs=True).select("id", "seq", "doc.event_type", "doc.value")
+
+
+@query("changes_limit", f"SELECT id, seq FROM {_FEED} ORDER BY seq LIMIT 25")
+def _(spark, d):
+    return ch.changes(_events(spark, d), limit=25).select("id", "seq")
+
+
+@query("save_delete", "SELECT o_orderkey::VARCHAR AS id, CASE WHEN o_orderstatus = 'F' THEN 2 ELSE 1 END::BIGINT AS pos, o_orderstatus = 'F' AS deleted FROM orders")
+def _(spark, d):
+    from .operators.writes import save
+
+    t = read(spark, d, "orders")
+    old = t.select(F.col("o_orderkey").cast("string").alias("id"), F.lit(1).cast("long").alias("pos"), F.array(F.lit("a")).alias("path"), F.lit(False).alias("deleted"), F.col("o_orderkey").alias("seq"), F.col("o_totalprice").alias("body"))
+    # a tombstone needs the revision that it follows
+    docs = t.select(F.col("o_orderkey").cast("string").alias("id"), F.when(F.col("o_orderstatus") == "F", "1-a").alias("rev"), F.lit(True).alias("deleted"), F.lit(None).cast(t.schema["o_totalprice"].dataType).alias("body"))
+    return rv.winners(save(old, docs, 10**9)[0].drop("body")).select("id", "pos", "deleted")
+
+
+@query("local_save", "SELECT c_custkey::VARCHAR AS id, CASE WHEN o.k IS NULL THEN 3 ELSE 4 END::BIGINT AS n FROM customer LEFT JOIN (SELECT DISTINCT o_custkey AS k FROM orders) o ON k = c_custkey")
+def _(spark, d):
+    from .operators.writes import save_local
+
+    local = read(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.lit(3).cast("long").alias("n"), F.col("c_name").alias("body"))
+    docs = read(spark, d, "orders").join(read(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey")), "o_custkey", "left_semi").select(F.col("o_custkey").cast("string").alias("id")).distinct()
+    return save_local(local, docs.withColumn("body", F.lit("again"))).select("id", "n")
+
+
 def event_registry() -> proto.Registry:
     """message Event { int64 event_id = 1; string kind = 2; double value = 3; }"""
     from google.protobuf import descriptor_pb2
